@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -100,8 +101,14 @@ def windows(words: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray,
     return mix(h[at]), at
 
 
-def batches(batch_iter, rows: int = 2000):
-    """Arrow batches of at most `rows` rows, so that a batch of long texts stays small in memory."""
+def batches(batch_iter, rows: int = 2000, size: int = 1 << 20):
+    """Slices of Arrow batches with at most `rows` rows and about `size` bytes of strings, so that the work arrays stay small; a longer text stands alone."""
     for batch in batch_iter:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        wide = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+        ends = np.cumsum(sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in wide)) if wide else np.zeros(batch.num_rows, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + size, side="right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
