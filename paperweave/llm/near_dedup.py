@@ -38,7 +38,7 @@ PERCENT = 75
 BANDS, ROWS = 40, 5
 POSITIONS = 1 << 20
 #: Up to so many cross pairs of a band group are verified one by one; beyond it the prefix join takes the group.
-FEW_PAIRS = 2000
+FEW_PAIRS = 100
 SET_BITS = 1 << 24
 
 _windows_of_pi: np.ndarray | None = None
@@ -176,13 +176,15 @@ def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact: two sets that overlap by PERCENT of their union share one of the first n - ceil(PERCENT% of n) + 1 shingles of each, in any one order of all shingles; here the rarest come first."""
+    """Exact: two sets that overlap by PERCENT of their union share one of the first n - ceil(PERCENT% of n) + 1 shingles of each, in any one order of all shingles; here the rarest come first. Their first common shingle also leaves enough shingles after it in both."""
     each = nodes.join(sets, "rep").mapInArrow(_explode_sets, "rep long, comp long, size int, shingle long")
     counts = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     ranked = each.join(counts, "shingle").groupBy("rep", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("lo") < F.col("hi")).alias("mixed")))).alias("s"))
-    prefix = ranked.select("rep", "comp", "size", F.explode(F.expr(f"slice(s, 1, size - cast(ceil({PERCENT} * size / 100.0) as int) + 1)")).alias("p")).where("p.mixed").select("rep", "comp", "size", "p.shingle")
-    x, y = (prefix.select("shingle", F.col("rep").alias(r), F.col("comp").alias(c), F.col("size").alias(n)) for r, c, n in (("a", "ca", "na"), ("b", "cb", "nb")))
-    close = x.join(y, "shingle").where((F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
+    prefix = ranked.select("rep", "comp", "size", F.posexplode(F.expr(f"slice(s, 1, size - cast(ceil({PERCENT} * size / 100.0) as int) + 1)")).alias("at", "p")).where("p.mixed").select("rep", "comp", "size", (F.col("size") - F.col("at")).alias("rest"), "p.shingle")
+    x, y = (prefix.select("shingle", *[F.col(c).alias(c + side) for c in ("rep", "comp", "size", "rest")]) for side in ("_x", "_y"))
+    # An overlap of PERCENT of the union is at least PERCENT / (100 + PERCENT) of both sizes together.
+    enough = (100 + PERCENT) * F.least("rest_x", "rest_y") >= PERCENT * (F.col("size_x") + F.col("size_y"))
+    close = x.join(y, "shingle").where((F.col("comp_x") < F.col("comp_y")) & enough).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
     return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
