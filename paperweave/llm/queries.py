@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, packing, quality, token_output
-from .common import table
+from . import bpe, chat, exact_dedup, langid, near_dedup, packing, pii, quality, token_output, toxicity
+from .common import crc_mod, table
 
 WORD_BPE, BYTE_BPE = (public_tokenizers.path(f"{x}.json") for x in ("word_bpe_49k", "byte_bpe_50k"))
 
@@ -17,10 +17,29 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)})
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.predict(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (crc_mod("doc_id", langid.MODULUS) == langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.as_text("base"), 256).alias("base_sha256"), pii.as_text("spans").alias("spans"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", (crc_mod("doc_id", toxicity.MODULUS) == toxicity.HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.write_shards(table(spark, sf_dir, "documents"), BYTE_BPE)[1]
 
@@ -33,5 +52,37 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_packing, op7_token_shards, op8_minhash_near_dedup, op9_quality_rules)}
-ORACLE: dict[str, str] = {}
+#: A conversation made of control strings, formatted with all others.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_conversations(rows, BYTE_BPE))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe_round_trip, op2_exact_dedup, op3_packing, op4_language_id, op5_pii, op6_toxicity, op7_token_shards, op8_minhash_near_dedup, op9_quality_rules, op10_chat_format)
+}
+
+ORACLE: dict[str, str] = {
+    "op2_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op10_chat_format": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+            UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        escaped AS (
+            SELECT *, length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS n FROM rows)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(n + length('<|im_start|><|im_sep|><|im_end|>')) AS BIGINT) AS formatted_chars
+        FROM escaped GROUP BY conv_id""",
+}
