@@ -35,7 +35,7 @@ CACHE = 250_000
 LONG_UNIT = 64
 #: str.split() also splits at these, which are no white space in the tokenizers' patterns.
 _ODD = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+_SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 _BEYOND = re.compile("[^\x00-\u024f]")
 
