@@ -52,7 +52,7 @@ def freshness(now: Column, fetched: Column, expires: Column, max_age_seconds: in
     """hit or stale."""
     stale = now > expires
     if max_age_seconds is not None:
-        stale = stale | (now.cast("long") - fetched.cast("long") > max_age_seconds)
+        stale = stale | (F.timestamp_diff("SECOND", fetched, now) > max_age_seconds)
     return F.when(stale, "stale").otherwise("hit")
 
 

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import queries_documents, queries_keyed, queries_search
+
+QUERIES: dict = queries_search.QUERIES | queries_documents.QUERIES | queries_keyed.QUERIES
+ORACLE: dict[str, str] = queries_search.ORACLE | queries_documents.ORACLE | queries_keyed.ORACLE

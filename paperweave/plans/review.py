@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,20 +36,29 @@ def binding_status(variables: DataFrame, group: list[str], status: str = "source
     )
 
 
-def layers(edges: DataFrame, nodes: DataFrame, most: int = MOST_CLAIMS) -> DataFrame:
-    """(id, layer): the longest chain of dependencies below each node; layer -1 for nodes on or behind a cycle. edges: id depends on parent.
-
-    Peels layer by layer. Plans are bounded, so at most `most` narrow steps are unrolled into one plan, without a job for each.
-    """
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("_plan_nodes")
-    edges.createOrReplaceTempView("_plan_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(id, depth) AS (
-            SELECT n.id, 0 FROM _plan_nodes n WHERE NOT EXISTS (SELECT 1 FROM _plan_edges e WHERE e.id = n.id)
-            UNION ALL
-            SELECT e.id, w.depth + 1 FROM walk w JOIN _plan_edges e ON e.parent = w.id WHERE w.depth < {most})
-        SELECT n.id, coalesce(max(w.depth), -1) AS layer FROM _plan_nodes n LEFT JOIN walk w ON w.id = n.id GROUP BY n.id""")
+def layer_of(claims: list[tuple[str, list[str]]]) -> dict[str, int]:
+    """Layer by layer, claims whose dependencies are all in earlier layers; -1 for claims on or behind a cycle. Dependencies on unknown ids do not count."""
+    open_of = {name: set(deps) & {n for n, _ in claims} - {name} for name, deps in claims}
+    out, layer = {}, 0
+    while ready := [n for n, deps in open_of.items() if not deps]:
+        for n in ready:
+            del open_of[n]
+        for deps in open_of.values():
+            deps.difference_update(ready)
+        out |= dict.fromkeys(ready, layer)
+        layer += 1
+    return out | dict.fromkeys(open_of, -1)
+
+
+def layers(claims: DataFrame, plan: str = "plan_id") -> DataFrame:
+    """(plan, claim_id, layer) for plans of any number; each plan is small by contract. claims: plan, claim_id, depends_on array<string>."""
+    @F.pandas_udf("map<string,int>")
+    def solve(ids: pd.Series, deps: pd.Series) -> pd.Series:
+        return pd.Series([layer_of([(i, list(d) if d is not None else []) for i, d in zip(a, b, strict=True)]) for a, b in zip(ids, deps, strict=True)])
+
+    rows = claims.groupBy(plan).agg(F.sort_array(F.collect_list(F.struct("claim_id", "depends_on"))).alias("c"))
+    solved = rows.select(plan, solve(F.col("c.claim_id"), F.col("c.depends_on")).alias("m"))
+    return solved.select(plan, F.explode("m").alias("claim_id", "layer"))
 
 
 def fair_share(claims: DataFrame, total: int, cap: int, group: list[str], order: list[str], need: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,11 @@ def table_csv(cells: DataFrame, path: str) -> None:
     cells.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cells.columns]).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
-def pages(rows: DataFrame, path: str) -> None:
-    """Replaces the pages of the documents in rows, and of no others: one folder for each bucket of documents is overwritten whole by its readers' key."""
-    rows.where("page_no > 0").dropDuplicates(["document_id", "page_no"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+def replace_pages(old: DataFrame, new: DataFrame) -> DataFrame:
+    """All pages of the documents in new are replaced by those given; pages below 1 are no pages, of equal numbers the last given (by `order`, if there is one) counts."""
+    order = F.col("order") if "order" in new.columns else F.lit(0)
+    last = new.where("page_no > 0").withColumn("_n", F.row_number().over(Window.partitionBy("document_id", "page_no").orderBy(F.desc(order)))).where("_n = 1")
+    return old.join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(last.select(old.columns))
 
 
 def full_text(rows: DataFrame, markers: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1000) -> DataFrame:
     """The events table as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
