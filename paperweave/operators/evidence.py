@@ -68,7 +68,8 @@ def priority(types: Column) -> Column:
 def best_type(types: Column) -> Column:
     """The type of the highest priority; the first by name among equals."""
     table = F.create_map(*[x for k, (p, _) in TYPES.items() for x in (F.lit(k), F.lit(p))])
-    return F.coalesce(F.array_sort(F.transform(types, lambda t: F.struct((-F.coalesce(table[t], F.lit(0))).alias("p"), t.alias("t"))))[0]["t"], F.lit("page"))
+    ranked = F.array_sort(F.transform(types, lambda t: F.struct((-F.coalesce(table[t], F.lit(0))).alias("p"), t.alias("t"))))
+    return F.coalesce(F.get(ranked, F.lit(0))["t"], F.lit("page"))
 
 
 def type_points(kind: Column, queries: Column, snippets: Column) -> Column:

@@ -226,3 +226,24 @@ def table_header_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.array(F.concat(F.lit("line "), F.col("l_linenumber").cast("string")), F.col("l_quantity").cast("int").cast("string"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).alias("c")))).alias("rows"))
     header = F.array(F.array(F.lit("项目"), F.lit("数量合计"), F.lit("金额")))
     return cells.select("l_orderkey", documents.structure_of(F.concat(header, F.col("rows.c"))).alias("s")).select("l_orderkey", "s.header_depth", "s.confidence", "s.row_count", "s.column_count", F.array_join(F.transform("s.column_paths", lambda p: F.array_join(p, ">")), "|").alias("column_paths"))
+
+
+@register("""WITH o AS (SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS p FROM orders)
+    SELECT o_orderkey AS set_id, 'gross' AS calculation_id, CAST(CAST(p + 10 AS DECIMAL(18,2)) AS VARCHAR) AS calculated, CASE o_orderstatus WHEN 'F' THEN 'unlinked' ELSE 'calculated' END AS status, true AS assumption_based FROM o
+    UNION ALL SELECT o_orderkey, 'net', CASE o_orderstatus WHEN 'F' THEN NULL ELSE CAST(CAST((p + 10) * 2 - p AS DECIMAL(18,2)) AS VARCHAR) END, CASE o_orderstatus WHEN 'F' THEN 'invalid' WHEN 'O' THEN 'verified' ELSE 'discrepancy' END, false FROM o""")
+def calc_graph_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two calculations for each order, the second on the result of the first; closed orders cite a text without their total."""
+    from . import calculations
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    key, p, status = F.col("o_orderkey"), F.col("p").cast("string"), F.col("o_orderstatus")
+    cite = F.concat(F.lit("e"), key.cast("string"))
+    evidence = o.select(cite.alias("evidence_id"), F.when(status == "F", "The total is not stated.").otherwise(F.concat(F.lit("Total: "), F.format_number("p", 2), F.lit("."))).alias("text"))
+    var = lambda name, value, kind, eid, dep: F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit("1").alias("scale"), *[F.lit(None).cast("string").alias(f) for f in calculations.FIELDS], eid.alias("evidence_id"), F.lit(kind).alias("source_type"), F.lit(dep).cast("string").alias("calculation_id"), F.lit("number").alias("source_format"), F.lit("equal").alias("relation"))
+    none = F.lit(None).cast("string")
+    extra = [none.alias("absolute_tolerance"), none.alias("relative_tolerance"), F.lit(None).cast("int").alias("expected_precision"), F.array().cast("array<string>").alias("checks")]
+    gross = o.select(key.alias("set_id"), F.lit("gross").alias("calculation_id"), F.lit("p + more").alias("expression"), none.alias("expected"), *extra, F.array(var("p", p, "evidence", cite, None), var("more", F.lit("10"), "assumption", none, None)).alias("variables"))
+    want = F.when(status == "O", (F.col("p") + 20).cast("string")).otherwise((F.col("p") + 21).cast("string"))
+    net = o.select(key.alias("set_id"), F.lit("net").alias("calculation_id"), F.lit("g * 2 - p").alias("expression"), want.alias("expected"), *extra, F.array(var("g", none, "calculation", none, "gross"), var("p", p, "evidence", cite, None)).alias("variables"))
+    done = calculations.verify(gross.unionByName(net), evidence, depth=2)
+    return done.select("set_id", "calculation_id", F.when(F.col("calculated").isNotNull(), F.col("calculated").cast("decimal(18,2)").cast("string")).alias("calculated"), "status", "assumption_based")
