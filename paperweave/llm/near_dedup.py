@@ -39,6 +39,8 @@ BANDS, ROWS = 40, 5
 POSITIONS = 1 << 20
 #: Up to so many cross pairs of a band group are verified one by one; beyond it the prefix join takes the group.
 FEW_PAIRS = 100
+#: Shingles before a row's own that it carries, so that a pair is made once and not at each common shingle; a pair without one among them is made more than once and then taken as one.
+BEFORE = 64
 SET_BITS = 1 << 24
 
 _windows_of_pi: np.ndarray | None = None
@@ -180,11 +182,15 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     each = nodes.join(sets, "rep").mapInArrow(_explode_sets, "rep long, comp long, size int, shingle long")
     counts = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     ranked = each.join(counts, "shingle").groupBy("rep", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("lo") < F.col("hi")).alias("mixed")))).alias("s"))
-    prefix = ranked.select("rep", "comp", "size", F.posexplode(F.expr(f"slice(s, 1, size - cast(ceil({PERCENT} * size / 100.0) as int) + 1)")).alias("at", "p")).where("p.mixed").select("rep", "comp", "size", (F.col("size") - F.col("at")).alias("rest"), "p.shingle")
-    x, y = (prefix.select("shingle", *[F.col(c).alias(c + side) for c in ("rep", "comp", "size", "rest")]) for side in ("_x", "_y"))
-    # An overlap of PERCENT of the union is at least PERCENT / (100 + PERCENT) of both sizes together.
+    # Of the prefix only shingles that other components have as well can meet; each row also carries the first of those before it.
+    numbered = F.transform(F.expr(f"slice(s, 1, size - cast(ceil({PERCENT} * size / 100.0) as int) + 1)"), lambda e, i: F.struct(i.alias("at"), e["shingle"].alias("shingle"), e["mixed"].alias("mixed")))
+    meeting = ranked.select("rep", "comp", "size", F.filter(numbered, lambda e: e["mixed"]).alias("p"))
+    prefix = meeting.select("rep", "comp", "size", "p", F.posexplode("p").alias("k", "e"))
+    prefix = prefix.select("rep", "comp", "size", (F.col("size") - F.col("e.at")).alias("rest"), "e.shingle", F.transform(F.slice("p", F.lit(1), F.least("k", F.lit(BEFORE))), lambda e: e["shingle"]).alias("before"))
+    x, y = (prefix.select("shingle", *[F.col(c).alias(c + side) for c in ("rep", "comp", "size", "rest", "before")]) for side in ("_x", "_y"))
+    # An overlap of PERCENT of the union is at least PERCENT / (100 + PERCENT) of both sizes together. A pair is made at its first common shingle alone.
     enough = (100 + PERCENT) * F.least("rest_x", "rest_y") >= PERCENT * (F.col("size_x") + F.col("size_y"))
-    close = x.join(y, "shingle").where((F.col("comp_x") < F.col("comp_y")) & enough).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+    close = x.join(y, "shingle").where((F.col("comp_x") < F.col("comp_y")) & enough & ~F.arrays_overlap("before_x", "before_y")).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
     return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
