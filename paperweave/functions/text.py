@@ -47,7 +47,7 @@ def language(title: Column, declared: Column | None = None) -> Column:
 def document_type(declared: Column, title: Column) -> Column:
     """The first rule that matches decides."""
     both = F.lower(F.concat_ws(" ", text_of(declared), text_of(title)))
-    rules = (
+    rules = (  # fixed values
         ("annual_report", ("annual report", "年度报告", "年报")),
         ("interim_report", ("interim", "半年度", "半年报")),
         ("quarterly_report", ("quarter", "季度", "季报")),

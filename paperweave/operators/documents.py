@@ -93,6 +93,7 @@ def identity(documents: DataFrame) -> DataFrame:
     return documents.withColumns({"year_match": year, "company_match": company, "symbol_match": code}).withColumn("passed", F.coalesce(F.col("year_match"), F.lit(True)) & ((F.size(signals) == 0) | F.array_contains(signals, True)))
 
 
+# Words of titles that are no annual report itself.
 NEGATIVE_TITLES = ("summary", "摘要", "通知", "通函", "notification", "notice of publication", "reply form", "letter to", "form of proxy", "proxy form", "overseas regulatory announcement", "海外監管公告", "港股公告", "h股公告", "h-share announcement", "esg", "更正", "修订", "修訂")
 
 
@@ -150,7 +151,7 @@ def disposition(complete: Column, passed: Column, trusted: Column) -> Column:
 
 # --- tables ------------------------------------------------------------------------------------------------------------
 # Words that headers of financial tables are made of.
-HEADER_WORDS = ("项目", "附注", "金额", "单位", "年度", "合计", "本期", "上期", "期末", "期初")
+HEADER_WORDS = ("item", "name", "date", "period", "amount", "total", "项目", "科目", "名称", "日期", "期间", "金额", "单位", "合计", "本期", "上期", "期末", "期初")
 _NUMBER = r"^\(?[-+]?\s*(?:[$¥￥€£]\s*)?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?\)?$"
 _YEAR = r"^(?:19|20)\d{2}(?:年|年度)?$"
 STRUCTURE = "header_depth int, confidence double, column_paths array<array<string>>, row_count int, column_count int, quality_flags array<string>"
