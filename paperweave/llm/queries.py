@@ -72,6 +72,22 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op8_minhash_near_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM d),
+        u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+        n AS (SELECT doc_id, len(sh) AS n FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(doc_id, root) AS (
+            SELECT doc_id, doc_id FROM n
+            UNION SELECT both_.b, r.root FROM r JOIN both_ ON both_.a = r.doc_id)
+        SELECT n.doc_id, CAST(any_value(n.n) AS BIGINT) AS n_shingles, min(r.root) AS component_id, n.doc_id = min(r.root) AS kept
+        FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id""",
     "op10_chat_format": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
