@@ -16,6 +16,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,7 @@ from tokenizers import Tokenizer
 from .wordhash import batches
 
 NEVER = np.int64(1 << 40)
+NO_RANK, SHORT_WORD = 1 << 40, 40
 #: Entries of a worker's caches; a full cache is emptied.
 CACHE = 250_000
 #: Units longer than this are encoded each time and not kept.
@@ -69,12 +71,14 @@ class Merges:
     def _tables(self, merges: list, size: int) -> None:
         self.size = size
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.made_by: list[int] = []  # by rank
         made = np.full(size, NEVER, np.int64)
         left, right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         twice = np.zeros(size, bool)
         for r, pair in enumerate(merges):
             x, y = pair.split(" ") if isinstance(pair, str) else pair
             a, b, c = self.vocab[x], self.vocab[y], self.vocab[x + y]
+            self.made_by.append(c)
             if (a, b) in self.rank:
                 continue
             self.rank[a, b] = (r, c)
@@ -142,9 +146,27 @@ class Merges:
         return out
 
     def exact(self, word: str) -> list[int]:
-        """Merge by rank, leftmost first, with a heap over a linked list. Letters without an id are left out."""
+        """Merge by rank, leftmost first. Letters without an id are left out."""
         symbols = [*word[:-1], word[-1] + self.end]
         ids = [i for s in symbols if (i := self.vocab.get(s)) is not None]
+        return self._merge_short(ids) if len(ids) <= SHORT_WORD else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """Search the whole word for the lowest rank each time."""
+        found, none = self.rank.get, (NO_RANK, -1)
+        ranks = [found(p, none)[0] for p in zip(ids, ids[1:], strict=False)]
+        while ranks and (low := min(ranks)) < NO_RANK:
+            i = ranks.index(low)
+            ids[i] = new = self.made_by[low]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = found((ids[i - 1], new), none)[0]
+            if i < len(ranks):
+                ranks[i] = found((new, ids[i + 1]), none)[0]
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """With a heap over a linked list, so that the cost stays near linear."""
         n = len(ids)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(*self.rank[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.rank]
@@ -213,7 +235,7 @@ class Encoder:
         new = list({w for p in parts for w in p if isinstance(w, str) and w not in self.words})
         known = dict(zip(new, m.encode_words(new), strict=True))
         look = lambda w: [w] if isinstance(w, int) else known[w] if w in known else self.words[w]
-        out = {u: np.array([i for w in p for i in look(w)], "<i4").tobytes() for u, p in zip(units, parts, strict=True)}
+        out = {u: array("i", [i for w in p for i in look(w)]).tobytes() for u, p in zip(units, parts, strict=True)}
         if len(self.words) + len(known) > CACHE:
             self.words.clear()
         self.words.update((w, i) for w, i in known.items() if len(w) <= LONG_UNIT)
