@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact
-from .review import layers, roll_up
+from .review import roll_up
 
 VARIABLE = "struct<name:string,value:string,scale:string,unit:string,period:string,scope:string,currency:string,evidence_id:string,source_type:string,calculation_id:string,source_format:string,relation:string>"
 FIELDS = ("unit", "period", "scope", "currency")
@@ -66,7 +66,7 @@ def _result(expression: Column, names: Column, expected: Column, absolute: Colum
     return F.pandas_udf(run, "struct<value:string,difference:string,within:boolean,error:string>")(expression, names, expected, absolute, relative, precision)
 
 
-def _layer(calculations: DataFrame, bound: DataFrame, results: DataFrame | None) -> DataFrame:
+def _round(calculations: DataFrame, bound: DataFrame, results: DataFrame | None) -> DataFrame:
     value = F.col("v.value")
     lost = F.lit(False)
     if results is not None:
@@ -97,22 +97,15 @@ def _layer(calculations: DataFrame, bound: DataFrame, results: DataFrame | None)
 def verify(calculations: DataFrame, evidence: DataFrame, depth: int = 1) -> DataFrame:
     """(set_id, calculation_id, calculated, difference, arithmetic_status, status, assumption_based, error).
 
-    `depth`: how many layers of calculations that use earlier results there are, at most MOST_LAYERS; each is one step over all
-    sets. Calculations on a cycle, or deeper, are invalid.
+    `depth`: how long chains of calculations that use earlier results may be, at most MOST_LAYERS. Each round is one step over
+    all sets and uses the results of the round before, so after `depth` rounds every chain of that length is settled; calculations
+    on a cycle, or deeper, never get a usable value and stay invalid.
     """
-    variables = calculations.select("set_id", "calculation_id", F.explode("variables").alias("v"))
-    bound = bind(variables, evidence)
-    if depth <= 1:
-        return _layer(calculations, bound, None)
-    needs = calculations.select(F.col("set_id").alias("plan_id"), F.col("calculation_id").alias("claim_id"), F.filter(F.transform("variables", lambda v: F.when(F.lower(v["source_type"]) == "calculation", v["calculation_id"])), lambda x: x.isNotNull()).alias("depends_on"))
-    layer = layers(needs).select(F.col("plan_id").alias("set_id"), F.col("claim_id").alias("calculation_id"), "layer")
-    placed, bound = calculations.join(layer, ["set_id", "calculation_id"]), bound.join(layer, ["set_id", "calculation_id"])
+    bound = bind(calculations.select("set_id", "calculation_id", F.explode("variables").alias("v")), evidence)
     done = None
-    for k in range(min(depth, MOST_LAYERS)):
-        step = _layer(placed.where(F.col("layer") == k), bound.where(F.col("layer") == k), done)
-        done = step if done is None else done.unionByName(step)
-    rest = placed.where((F.col("layer") < 0) | (F.col("layer") >= depth))
-    return done.unionByName(_layer(rest, bound.where((F.col("layer") < 0) | (F.col("layer") >= depth)), None))
+    for _ in range(max(1, min(depth, MOST_LAYERS))):
+        done = _round(calculations, bound, done)
+    return done
 
 
 def set_status(results: DataFrame) -> DataFrame:
