@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the keyed tables: append logs with a watermark, caches that expire, latest rows by key."""
+"""Structured Streaming forms of the keyed tables: append logs, windows with a watermark, caches that expire, latest rows by key."""
 
 from __future__ import annotations
 
@@ -17,11 +17,21 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "1 da
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
-def once_each(events: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
-    """Repeats of a key within the watermark are dropped; state older than it is forgotten."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+def once_each(events: DataFrame, key: str = "event_id") -> DataFrame:
+    """Repeats of a key are dropped, however late and in whatever batch they come: no watermark, the state is one key for each id."""
+    return events.dropDuplicates([key])
+
+
+#: State on disk, since that of once_each grows with the ids.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """All that is there now, then stop; a later call goes on from the checkpoint."""
-    return stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf, (name, store) = stream.sparkSession.conf, STATE_STORE
+    before = conf.get(name, None)
+    conf.set(name, store)
+    try:  # the stream takes its settings as it starts
+        return stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before) if before else conf.unset(name)

@@ -225,3 +225,21 @@ def test_sources_and_sinks(spark, tmp_path):
     old = spark.createDataFrame([("d", 1, "x"), ("e", 1, "y")], PAGES)
     assert sorted((r["document_id"], r["page_no"]) for r in writers.replace_pages(old, new).collect()) == [("d", 2), ("e", 1)]
     assert [x["href"] for x in one(spark, readers.links(F.col("h")), h='<a href="/a.pdf" class=x>A <b>b</b></a><A HREF=\'/c\'>c</A>')] == ["/a.pdf", "/c"]
+
+
+def test_stream_keeps_each_id_once_over_many_batches(spark, tmp_path):
+    import os
+
+    from paperweave.streaming import events as streaming
+
+    batches = [[(1, "2024-03-01"), (2, "2024-03-02")], [(3, "2024-01-01"), (1, "2024-02-01")], [(4, "2024-06-01")], [(1, "2024-07-01"), (5, "2023-01-01"), (3, "2024-07-02")], [(2, "2024-07-03"), (6, "2024-03-01")]]
+    (tmp_path / "events.parquet").mkdir()
+    for i, rows in enumerate(batches):
+        name = tmp_path / "events.parquet" / f"{i}.parquet"
+        spark.createDataFrame(rows, "event_id long, ts string").toPandas().to_parquet(name)
+        os.utime(name, (1700000000 + i, 1700000000 + i))
+    stream = streaming.once_each(streaming.read_events(spark, str(tmp_path), files_per_trigger=1))
+    done = streaming.run_once(stream, str(tmp_path / "rows"), str(tmp_path / "state"))
+    done.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in done.recentProgress) == len(batches)
+    assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == [1, 2, 3, 4, 5, 6]
