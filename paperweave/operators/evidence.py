@@ -128,6 +128,34 @@ def useful_adjacent(text: Column, page_no: Column) -> Column:
     return (page_no > 1) & (F.length(F.trim(F.regexp_replace(text_of(text), r"\s+", " "))) >= 200)
 
 
+def around_matches(text: Column, queries: Column, longest: Column) -> Column:
+    """search.excerpt with the terms of the row: `longest` characters around the first of its queries found (its longest word, where the query itself is not there), with ... where cut."""
+    body, low = text_of(text), F.lower(text_of(text))
+
+    def places(query):
+        words = F.filter(F.array_distinct(F.regexp_extract_all(query, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))), lambda w: F.length(w) >= 3)
+        ranked = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+        return F.transform(F.filter(F.concat(F.array(query), ranked), lambda t: t != ""), lambda t: F.position(t, low))
+
+    asked = F.transform(F.coalesce(queries, F.array().cast("array<string>")), lambda q: F.lower(F.trim(text_of(q))))
+    found = F.filter(F.flatten(F.transform(asked, places)), lambda p: p > 0)
+    hit = F.coalesce(F.get(found, F.lit(0)), F.lit(0))
+    end = F.least(F.length(body), F.greatest(F.lit(0), hit - 1 - F.floor(longest / 3).cast("int")) + longest)
+    start = F.greatest(F.lit(0), end - longest)
+    cut = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(body, start + 1, longest), F.when(end < F.length(body), "...").otherwise(""))
+    return F.when(F.length(body) <= longest, body).when(hit == 0, F.substring(body, F.lit(1), longest)).otherwise(cut)
+
+
+def excerpt_budget(items: DataFrame, most_chars: int, page_chars: int, group: list[str], order: list[str], queries: str = "matched_queries", text: str = "text") -> DataFrame:
+    """An excerpt of each text around its queries, in order while their characters sum up to less than most_chars; the one that crosses gets a shorter excerpt and is flagged."""
+    full = around_matches(F.col(text), F.col(queries), F.lit(page_chars))
+    sized = items.withColumn("_size", F.length(full))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = sized.withColumn("_left", (most_chars - before).cast("int")).where(F.col("_left") > 0)
+    short = around_matches(F.col(text), F.col(queries), F.least(F.lit(page_chars), F.col("_left")))
+    return out.withColumn("truncated", F.col("_size") > F.col("_left")).withColumn(text, short).drop("_size", "_left")
+
+
 def tokens_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text_of(text)) / 3))
 

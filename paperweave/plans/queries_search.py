@@ -160,6 +160,13 @@ def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return evidence.select_diverse(evidence.with_adjacent(merged, pages), 3, ["document_id"], ["page_no"]), pages
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen pages with their texts, without adjacent pages of little use."""
+    chosen, pages = _selected(spark, sf_dir)
+    wide = chosen.join(pages, ["document_id", "page_no"]).where(~F.col("is_adjacent") | evidence.useful_adjacent(F.col("text"), F.col("page_no")))
+    return wide.select("document_id", "page_no", F.col("place").cast("long").alias("place"), "matched_queries", "text")
+
+
 def joined(name: str) -> F.Column:
     return F.array_join(name, "|").alias(name)
 
@@ -186,13 +193,16 @@ def diverse_topk_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY document_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM texts)
     SELECT document_id, page_no, CAST(place AS BIGINT) AS place, length(text) > 1200 - before AS truncated, substring(text, 1, CAST(1200 - before AS BIGINT)) AS text FROM sums WHERE before < 1200""")
 def evidence_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search, merge, adjacent pages, quotas, texts and budget: one packet for each document."""
-    chosen, pages = _selected(spark, sf_dir)
-    wide = chosen.join(pages, ["document_id", "page_no"]).where(~F.col("is_adjacent") | evidence.useful_adjacent(F.col("text"), F.col("page_no")))
-    short = wide.select("document_id", "page_no", F.col("place").cast("long").alias("place"), F.substring("text", 1, 500).alias("text"))
+    """Search, merge, adjacent pages, quotas, texts and budget: one packet for each document. As its SQL says, texts are cut to their first characters; excerpt_packet cuts them around the matches."""
+    short = _texts(spark, sf_dir).select("document_id", "page_no", "place", F.substring("text", 1, 500).alias("text"))
     return evidence.budget(short, 1200, ["document_id"], ["place"])
 
 
+def excerpt_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets with an excerpt of each page around the queries that chose it."""
+    return evidence.excerpt_budget(_texts(spark, sf_dir), 1200, 500, ["document_id"], ["place"]).select("document_id", "page_no", "place", "text", "truncated")
+
+
 @register(f"""WITH {TURNS}, sums AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY document_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pages)
     SELECT document_id, page_no, length(text) > 1500 - before AS truncated, substring(text, 1, CAST(1500 - before AS BIGINT)) AS text FROM sums WHERE before < 1500""")
 def char_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,3 +243,24 @@ def test_stream_keeps_each_id_once_over_many_batches(spark, tmp_path):
     done.awaitTermination()
     assert sum(p["numInputRows"] > 0 for p in done.recentProgress) == len(batches)
     assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_packet_shows_a_match_late_in_its_page(spark, tmp_path):
+    from paperweave.plans import queries_search
+
+    late = "x" * 40 + " " + "filler " * 200 + "the thing is here " + "more " * 100
+    rows = [(7, turn, "user", late) for turn in (0, 2, 4)] + [(8, 0, "user", "short text of it")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = queries_search.excerpt_packet(spark, str(tmp_path)).collect()
+    assert sorted((r["document_id"], r["page_no"]) for r in found) == [("7", 1), ("7", 3), ("7", 5), ("8", 1)]
+    long = sorted((r for r in found if r["document_id"] == "7"), key=lambda r: r["place"])
+    assert all("the thing" in r["text"] and r["text"].startswith("...") for r in long)
+    assert [len(r["text"]) for r in long] == [506, 506, 194] and [r["truncated"] for r in long] == [False, False, True]
+
+
+@pytest.mark.parametrize("terms", [["late words"], ["none", "deeper meaning"], ["nothing"], ["  Late WORDS "], ["", "zz deep"]])
+def test_excerpts_by_row_and_by_stated_terms_agree(spark, terms):
+    body = "head " * 30 + "late words " + "tail " * 30 + "deeper " + "end " * 30
+    df = spark.createDataFrame([(body, terms), ("short", terms), (None, terms)], "text string, queries array<string>")
+    both = df.select(evidence.around_matches(F.col("text"), F.col("queries"), F.lit(60)).alias("a"), search.excerpt(F.col("text"), terms, 60).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both)
