@@ -56,10 +56,23 @@ def freshness(now: Column, fetched: Column, expires: Column, max_age_seconds: in
     return F.when(stale, "stale").otherwise("hit")
 
 
-def duplicates(rows: DataFrame, size: str, digest: Column, name: str) -> DataFrame:
-    """Groups of equal content: only rows whose size occurs twice are hashed. digest is evaluated for those alone."""
-    sizes = rows.groupBy(size).agg(F.count("*").alias("_n")).where("_n > 1").select(size)
-    return rows.join(sizes, size, "left_semi").withColumn("digest", digest).groupBy("digest").agg(F.count("*").alias("n"), F.min(size).alias(size), F.sort_array(F.collect_list(name)).alias("members")).where("n > 1")
+def _hashed(rows: DataFrame, content: str, digest: Column) -> DataFrame:
+    """Rows whose size occurs twice, with their digest; the size is taken from the content itself, null as empty."""
+    sized = rows.withColumn("_size", F.length(F.coalesce(F.col(content), F.lit(""))))
+    sizes = sized.groupBy("_size").agg(F.count("*").alias("_n")).where("_n > 1").select("_size")
+    return sized.join(sizes, "_size", "left_semi").select(*[c for c in rows.columns if c != content], digest.alias("digest"))
+
+
+def duplicates(rows: DataFrame, content: str, digest: Column, name: str, least: str) -> DataFrame:
+    """Groups of equal content with the list of their members and the least value of one column: only rows whose size occurs twice are hashed. digest is evaluated for those alone."""
+    return _hashed(rows, content, digest).groupBy("digest").agg(F.count("*").alias("n"), F.min(least).alias(least), F.sort_array(F.collect_list(name)).alias("members")).where("n > 1")
+
+
+def duplicate_rows(rows: DataFrame, content: str, digest: Column, name: str) -> DataFrame:
+    """(name, digest, n, first), one row for each member of a group, for groups of any size: no list of members is made."""
+    hashed = _hashed(rows.select(name, content), content, digest)
+    groups = hashed.groupBy("digest").agg(F.count("*").alias("n"), F.min(name).alias("first")).where("n > 1").withColumnRenamed("digest", "_digest")
+    return hashed.join(groups, F.col("digest").eqNullSafe(F.col("_digest"))).drop("_digest")
 
 
 def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> tuple[dict[str, DataFrame], DataFrame]:

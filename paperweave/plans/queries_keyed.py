@@ -74,7 +74,7 @@ def filing_nullsafe_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""SELECT md5(text) AS digest, count(*) AS n, min(n_chars) AS n_chars, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members FROM documents GROUP BY md5(text) HAVING count(*) > 1""")
 def duplicate_groups_size_then_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    out = lifecycle.duplicates(docs, "n_chars", F.md5("text"), "doc_id")
+    out = lifecycle.duplicates(docs, "text", F.md5("text"), "doc_id", "n_chars")
     return out.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 

@@ -245,6 +245,24 @@ def test_stream_keeps_each_id_once_over_many_batches(spark, tmp_path):
     assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == [1, 2, 3, 4, 5, 6]
 
 
+def test_duplicates_need_no_stored_size(spark):
+    rows = [(1, "same", 4), (2, "same", None), (3, "same", 4), (4, "once", 4), (5, "two", None), (6, "two", None), (7, None, None), (8, None, 0), (9, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    found = lifecycle.duplicates(docs, "text", F.md5("text"), "doc_id", "n_chars").collect()
+    assert sorted((r["members"], r["n"], r["n_chars"]) for r in found) == [([1, 2, 3], 3, 4), ([5, 6], 2, None), ([7, 8], 2, 0)]
+    each = lifecycle.duplicate_rows(docs, "text", F.md5("text"), "doc_id").collect()
+    assert sorted((r["doc_id"], r["n"], r["first"]) for r in each) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (5, 2, 5), (6, 2, 5), (7, 2, 7), (8, 2, 7)]
+
+
+def test_duplicate_query_with_null_sizes(spark, tmp_path):
+    from paperweave.plans import queries_keyed
+
+    rows = [(1, "same", 4), (2, "same", None), (3, "two", None), (4, "two", None), (5, None, None), (6, None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries_keyed.duplicate_groups_size_then_hash(spark, str(tmp_path)).collect()
+    assert sorted(r["members"] for r in found) == ["1,2", "3,4", "5,6"]
+
+
 def test_packet_shows_a_match_late_in_its_page(spark, tmp_path):
     from paperweave.plans import queries_search
 
