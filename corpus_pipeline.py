@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.llm import exact_dedup, near_dedup, packing, pii, quality
-from paperweave.llm.common import drop_rows, materialize, table
+from paperweave.llm.common import drop_rows, materialize, may_survive, survivor_bits, table
 from paperweave.llm.queries import BYTE_BPE
 from paperweave.session import ship
 
@@ -21,16 +21,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+#: A row by its id, which can be null or repeated, and its text (null counts as empty).
+ROW = F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    dropped = exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id")
-    return drop_rows(docs, materialize(dropped, "dropped"), "doc_id")
+    dropped = exact_dedup.exact_duplicates(docs, carry={"_row": ROW}).where("not kept").select("_row")
+    return drop_rows(docs.withColumn("_row", ROW), materialize(dropped, "dropped"), "_row").drop("_row")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    dropped = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
-    return drop_rows(docs, materialize(dropped, "dropped"), "doc_id")
+    numbered = _numbered(docs)
+    dropped = near_dedup.near_duplicates(numbered, "_row").where("not kept").select(F.col("doc_id").alias("_row"))
+    return drop_rows(numbered, materialize(dropped, "dropped"), "_row").drop("_row")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with `_row`: the id where no other row has it; else, and for a null id, a number from id and text above 2^62, so that ids in use come first."""
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    repeated = materialize(repeated, "repeated")
+    flagged = may_survive(docs, survivor_bits(repeated, "doc_id"), "doc_id", "_suspect")
+    suspects = flagged.where("_suspect").join(repeated.withColumn("_again", F.lit(True)), "doc_id", "left")
+    both = flagged.where("not _suspect").withColumn("_again", F.lit(None).cast("boolean")).unionByName(suspects)
+    number = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))
+    unique = F.col("doc_id").isNotNull() & F.col("_again").isNull()
+    return both.withColumn("_row", F.when(unique, F.col("doc_id").cast("long")).otherwise(number)).select(*docs.columns, "_row")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

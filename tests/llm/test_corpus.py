@@ -236,3 +236,19 @@ def test_pipeline(spark, docs, texts):
     assert len({texts[i] for i in kept}) == len(kept)
     packed = cp.STAGES[-1][1](spark, df, "")
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(kept)
+
+
+def test_pipeline_drops_rows_and_not_ids(spark):
+    import corpus_pipeline as cp
+
+    words = lambda seed: " ".join(random.Random(seed).choices([f"w{i}" for i in range(500)], k=80))
+    copy, near = words(1), words(2)
+    rows = [(1, copy), (9, copy), (1, words(3)), (None, copy), (None, words(4)), (20, near), (21, near + " tail"), (21, words(5)), (None, near + " end"), (30, None), (31, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    texts = lambda d: sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=str)
+    exact = cp.exact_duplicates(spark, df, "")
+    assert exact.columns == df.columns
+    assert texts(exact) == sorted([r for r in rows if r not in [(1, copy), (None, copy), (30, None)]], key=str)
+    left = cp.near_duplicates(spark, exact, "")
+    assert left.columns == df.columns
+    assert texts(left) == sorted([(9, copy), (1, words(3)), (None, words(4)), (20, near), (21, words(5)), (31, "")], key=str)
