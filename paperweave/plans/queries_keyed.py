@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence, lifecycle
+from ..session import shared_dir
 from ..sources import readers
 from ..streaming import events as streaming
 from .queries_search import table
@@ -194,11 +195,6 @@ def filtered_top_by_market(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def stream_once_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, each id once, appended to a table and counted."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="spark-shared-")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     streaming.run_once(streaming.once_each(streaming.read_events(spark, sf_dir)), f"{base}/rows", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/rows").groupBy("event_type").agg(F.count("*").alias("n"))

@@ -22,6 +22,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own in local mode; RuntimeError on a cluster, whose machines would each write to their own disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def build(app_name: str = "paperweave", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session with the settings that the results assume (UTC, adaptive execution)."""
     return (
