@@ -4,14 +4,17 @@ Greedy longest match proposes the tokens of a word. A proposal is the true merge
 itself and no two neighbours are incompatible: at no time of the merge order does a merge across their border come first.
 The border tests of all words of a batch run together in numpy; only words that fail are merged exactly.
 
-Distinct white-space units are encoded once per cache life, so the work per word of running text is one dictionary look-up.
+White-space units are kept as long as they are in use, so the work per word of running text is one dictionary look-up.
 
-Defined cases: null or empty text has no ids and decodes to the empty string; repeated rows are encoded alike; other columns
-than the id and the text are dropped; special tokens inside a text become their ids, as the public library does it.
+Defined cases: null or empty text has no ids and decodes to the empty string; a very long text is one batch of its own, and a
+long word is merged over a heap, so that its cost stays near linear; there are no ties, as merge ranks are distinct; repeated
+rows and null ids are encoded alike; other columns than the id and the text are dropped, whatever their names; an empty table
+gives an empty result; special tokens inside a text become their ids, as the public library does it.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -19,6 +22,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,8 @@ from .wordhash import batches
 
 NEVER = np.int64(1 << 40)
 NO_RANK, SHORT_WORD = 1 << 40, 40
-#: Entries of a worker's caches; a full cache is emptied.
-CACHE = 250_000
+#: Entries of one generation of a worker's caches.
+UNITS, WORDS = 400_000, 150_000
 #: Units longer than this are encoded each time and not kept.
 LONG_UNIT = 64
 #: str.split() also splits at these, which are no white space in the tokenizers' patterns.
@@ -42,6 +46,27 @@ _SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 _BEYOND = re.compile("[^\x00-\u024f]")
 
 
+class Recent:
+    """A bounded cache: a young and an old generation of about `size` entries each. What is still in use moves from the old one to the young one before the old one goes."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those keys that are in neither generation; the others are in the young one from now on."""
+        gone = []
+        for k in keys.difference(self.young):
+            if (found := self.old.get(k)) is None:
+                gone.append(k)
+            else:
+                self.young[k] = found
+        return gone
+
+    def age(self) -> None:
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 def byte_letters() -> list[str]:
     """The visible letter that stands for each byte in byte-level vocabularies: itself where printable, else the next one from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,7 +88,13 @@ class Merges:
         for text, i in [*self.vocab.items(), *self.special.items()]:
             self.strings[i] = text
         self.letters = byte_letters()
-        self.longest = max(map(len, self.vocab))
+        #: Every beginning of a token that can stand inside a word: its id, or -1 where it is no token itself.
+        self.steps: dict[str, int] = {}
+        inner = [x for x in self.vocab.items() if not self.end or not x[0].endswith(self.end)]
+        for text, _ in inner:
+            self.steps.update((text[:k], -1) for k in range(1, len(text)))
+        self.steps.update(inner)
+        self.ending = max(map(len, self.vocab)) - len(self.end)
         self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._tables(model["merges"], size)
@@ -130,21 +161,30 @@ class Merges:
 
     def greedy(self, word: str) -> list[int] | None:
         """Longest match from the left; None where some letter is unknown."""
-        out, at, n, vocab = [], 0, len(word), self.vocab
+        out, at, n, steps = [], 0, len(word), self.steps.get
         while at < n:
-            stop = min(n, at + self.longest)
-            if stop == n and (found := vocab.get(word[at:] + self.end)) is not None:
+            if n - at <= self.ending and (found := self.vocab.get(word[at:] + self.end)) is not None:
                 out.append(found)
                 return out
-            for end in range(stop - (stop == n), at, -1):
-                if (found := vocab.get(word[at:end])) is not None:
-                    break
-            else:
+            best, stop, end = -1, at, at + 1
+            while end <= n and (found := steps(word[at:end])) is not None:
+                if found >= 0:
+                    best, stop = found, end
+                end += 1
+            if stop == n and self.end:  # the whole rest, but not as the end of a word
+                best, stop = self._inner(word, at, n)
+            if best < 0:
                 return None
-            out.append(found)
-            at = end
+            out.append(best)
+            at = stop
         return out
 
+    def _inner(self, word: str, at: int, n: int) -> tuple[int, int]:
+        for end in range(n - 1, at, -1):
+            if (found := self.steps.get(word[at:end], -1)) >= 0:
+                return found, end
+        return -1, at
+
     def exact(self, word: str) -> list[int]:
         """Merge by rank, leftmost first. Letters without an id are left out."""
         symbols = [*word[:-1], word[-1] + self.end]
@@ -207,53 +247,53 @@ class Encoder:
 
     def __init__(self, path: str):
         self.merges = Merges(path)
-        self.units: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.units, self.words = Recent(UNITS), Recent(WORDS)
         # Only their normaliser and splitter, for letters beyond Latin: Unicode tables differ between libraries.
         public = Tokenizer.from_file(path)
         self.normalise, self.split = public.normalizer.normalize_str, public.pre_tokenizer.pre_tokenize_str
 
     def _words(self, unit: str) -> list[str]:
         m = self.merges
+        if unit.isascii():
+            text = unit.lower()
+            if text.isalpha():
+                return [text]
+            found = m.pattern.findall(text)  # of the ASCII bytes only control characters have another letter
+            return found if text.isprintable() else ["".join([m.letters[b] for b in w.encode()]) for w in found]
         if _BEYOND.search(unit):
             return [w for w, _ in self.split(self.normalise(unit))]
-        text = unicodedata.normalize("NFC", unit)
-        text = text.lower() if text.isascii() else "".join([c.lower() for c in text])
-        found = m.pattern.findall(text)
-        if text.isascii():  # of the ASCII bytes only control characters have another letter
-            return found if text.isprintable() else ["".join([m.letters[b] for b in w.encode()]) for w in found]
-        return [w if w.isascii() and w.isprintable() else "".join([m.letters[b] for b in w.encode()]) for w in found]
+        text = "".join([c.lower() for c in unicodedata.normalize("NFC", unit)])
+        return [w if w.isascii() and w.isprintable() else "".join([m.letters[b] for b in w.encode()]) for w in m.pattern.findall(text)]
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
         """ids, as little-endian 32-bit numbers, of units not seen before."""
-        m, parts = self.merges, []
+        m, parts, words = self.merges, [], self.words
         for unit in units:
             if m.split_special and "<|" in unit and m.split_special.search(unit):
                 parts.append([w for x in m.split_special.split(unit) if x for w in ([m.special[x]] if x in m.special else self._words(x))])
             else:
                 parts.append(self._words(unit))
-        new = list({w for p in parts for w in p if isinstance(w, str) and w not in self.words})
-        known = dict(zip(new, m.encode_words(new), strict=True))
-        look = lambda w: [w] if isinstance(w, int) else known[w] if w in known else self.words[w]
-        out = {u: array("i", [i for w in p for i in look(w)]).tobytes() for u, p in zip(units, parts, strict=True)}
-        if len(self.words) + len(known) > CACHE:
-            self.words.clear()
-        self.words.update((w, i) for w, i in known.items() if len(w) <= LONG_UNIT)
+        new = words.missing({w for p in parts for w in p if isinstance(w, str)})
+        words.young.update((w, array("i", ids).tobytes()) for w, ids in zip(new, m.encode_words(new), strict=True))
+        known = words.young
+        out = {u: known[p[0]] if len(p) == 1 and isinstance(p[0], str) else b"".join([known[w] if isinstance(w, str) else array("i", [w]).tobytes() for w in p]) for u, p in zip(units, parts, strict=True)}
+        for w in new:
+            if len(w) > LONG_UNIT:
+                del known[w]
+        words.age()
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids, one after another."""
-        split = [[] if not x else _SPACES.split(x) if _ODD.search(x) else x.split() for x in texts]
-        split = [[u for u in x if u] for x in split]
-        wanted = {u for x in split for u in x if u not in self.units}
-        new = self._learn(list(wanted)) if wanted else {}
-        if len(self.units) + len(new) > CACHE:
-            new |= {u: self.units[u] for x in split for u in x if u in self.units}
-            self.units = {}
-        self.units.update(new)
-        each = [b"".join([self.units[u] for u in x]) for x in split]
-        for u in [u for u in new if len(u) > LONG_UNIT]:
-            del self.units[u]
+        split = [[] if not x else [u for u in _SPACES.split(x) if u] if _ODD.search(x) else x.split() for x in texts]
+        units = self.units
+        if new := units.missing(set(chain.from_iterable(split))):
+            units.young.update(self._learn(new))
+        each = [b"".join(map(units.young.__getitem__, x)) for x in split]
+        for u in new:
+            if len(u) > LONG_UNIT:
+                del units.young[u]
+        units.age()
         offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in each])]).astype(np.int32)
         return offsets, np.frombuffer(b"".join(each), "<i4")
 
@@ -271,12 +311,14 @@ def encoder(path: str) -> Encoder:
 def _run(path: str, decode: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        gc.disable()  # nothing here makes cycles, and each collection would walk through the caches
         for batch in batches(it, 1000):
             offsets, ids = enc.encode(batch.column(1).to_pylist())
             columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
             if decode:
                 columns.append(pa.array(enc.decode(offsets, ids), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
+        gc.enable()
 
     return run
 

@@ -3,6 +3,9 @@
 A blank between two characters that are not white space always begins a new piece of the tokenizer's pattern, so texts can
 be cut there, and the ids of each unit are looked up. Units that only the full library treats rightly (special tokens,
 letters beyond Latin, whose Unicode tables differ between libraries) go to it; the others to the faster rank encoder with the same vocabulary.
+
+Defined cases: null or empty text has no ids; a very long text is cut at blanks and a unit without blanks goes to the encoder
+whole; equal texts have equal ids; columns and tables are the callers' matter.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from functools import lru_cache
 import tiktoken
 from tokenizers import Tokenizer
 
-from .bpe import CACHE, LONG_UNIT, byte_letters
+from .bpe import LONG_UNIT, UNITS, Recent, byte_letters
 
 #: Fixed value: the piece pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -31,7 +34,7 @@ class ByteTokens:
         ranks = {bytes(byte_of[c] for c in s): i for s, i in spec["model"]["vocab"].items()}
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.library = Tokenizer.from_file(path)
-        self.units: dict[str, bytes] = {}
+        self.units = Recent(UNITS)
 
     def _ids(self, text: str) -> bytes:
         if _LIBRARY.search(text):
@@ -50,17 +53,16 @@ class ByteTokens:
             return b""
         first, *rest = self._cut(text)
         units, ids = self.units, self._ids
-        out = [ids(first)]
-        for u in rest:
-            found = units.get(u)
-            if found is None:
-                found = ids(" " + u)
-                if len(u) <= LONG_UNIT:
-                    if len(units) >= CACHE:
-                        units.clear()
-                    units[u] = found
-            out.append(found)
-        return b"".join(out)
+        young = units.young
+        new = units.missing(set(rest))
+        for u in new:
+            young[u] = ids(" " + u)
+        out = ids(first) + b"".join(map(young.__getitem__, rest))
+        for u in new:
+            if len(u) > LONG_UNIT:
+                del young[u]
+        units.age()
+        return out
 
 
 @lru_cache(maxsize=2)
