@@ -9,9 +9,9 @@ edge of a turn:
 Control strings inside roles and texts are escaped by one more backslash between `<` and `|` (`<|` becomes `<\|`, `<\|`
 becomes `<\\|`), which unescape() takes back exactly.
 
-Defined cases: null roles and texts count as empty; turns are sorted by number, null first, ties by role and text; repeated
+Defined cases: null roles and texts count as empty; a very long conversation is one block of its own; turns are sorted by number, null first, ties by role and text; repeated
 rows are turns of their own; a null conv_id is a conversation; an empty table gives an empty result; other columns are
-ignored.
+ignored, whatever their names.
 """
 
 from __future__ import annotations

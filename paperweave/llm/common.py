@@ -1,28 +1,38 @@
-"""What the operators of this subpackage share: tables, shared storage, bounded row filters."""
+"""What the operators of this subpackage share: tables, shared storage, bounded row filters, joins with heavy keys."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Bits in one bucket of Spark's bitmap functions (4096 bytes).
 BUCKET_BITS = 32768
+#: A key is heavy if it has at least this share of all rows; so at most so many keys are heavy, whatever the input.
+MOST_HEAVY = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df in one struct, so that no name can clash with one of ours."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
+def row_columns(columns: Iterable[str], row: str = "row") -> list[Column]:
+    """The columns of whole_row again."""
+    return [F.col(f"{row}.{quoted(c)}").alias(c) for c in columns]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -32,6 +42,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once all that is made of them has been written itself."""
+    for df in tables:
+        spark, ours = df.sparkSession, shared_dir(df.sparkSession).split(":")[-1]
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if ours in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
@@ -44,7 +64,7 @@ def survivor_bits(keys: DataFrame, key: str, bits: int = 1 << 22) -> DataFrame:
 
 
 def may_survive(df: DataFrame, bits_df: DataFrame, key: str, flag: str, bits: int = 1 << 22) -> DataFrame:
-    """Adds boolean `flag`: false means that the key is surely not among those of bits_df. Never moves the rows: the bitmap has a fixed size and is broadcast."""
+    """Adds boolean `flag`: false means that the key is surely not among those of bits_df. Never moves the rows: the bitmap has a fixed size and is broadcast. df has no columns named _bucket, _bits or _byte."""
     at = F.pmod(F.xxhash64(key), F.lit(bits))
     joined = df.withColumn("_bucket", (at / BUCKET_BITS).cast("int")).join(F.broadcast(bits_df), "_bucket", "left")
     byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(pmod(xxhash64({key}), {bits}L) % {BUCKET_BITS} / 8 as int) + 1, 1)")), 16, 10).cast("int")
@@ -52,9 +72,31 @@ def may_survive(df: DataFrame, bits_df: DataFrame, key: str, flag: str, bits: in
     return joined.withColumn("_byte", byte).withColumn(flag, F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull()).drop("_bucket", "_bits", "_byte")
 
 
-def drop_rows(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """df without the rows whose key is in dropped. Only rows that the bitmap suspects are shuffled; a null key stays."""
-    flagged = may_survive(df, survivor_bits(dropped, key), key, "_suspect")
-    clean = flagged.where(~F.col("_suspect")).drop("_suspect")
-    suspects = flagged.where("_suspect").drop("_suspect").join(dropped.select(key).distinct(), key, "left_anti")
-    return clean.unionByName(suspects.select(clean.columns))
+def _suspects(df: DataFrame, keys: DataFrame, key: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """(row, key) of the rows that the bitmap of `keys` clears, and of those that it suspects. Only the latter are ever shuffled."""
+    flagged = may_survive(df.select(whole_row(df).alias("row"), key.alias(name)), survivor_bits(keys, name), name, "_suspect")
+    return flagged.where("not _suspect").drop("_suspect"), flagged.where("_suspect").drop("_suspect")
+
+
+def drop_rows(df: DataFrame, dropped: DataFrame, key: Column, name: str = "_key") -> DataFrame:
+    """df without the rows whose key is in the column `name` of dropped; a null key stays. The columns of df may have any names."""
+    clean, suspects = _suspects(df, dropped, key, name)
+    suspects = suspects.join(dropped.select(name).distinct(), name, "left_anti")
+    return clean.select("row").unionByName(suspects.select("row")).select(*row_columns(df.columns))
+
+
+def one_of_each(df: DataFrame, repeated: DataFrame, key: Column, name: str = "_key") -> DataFrame:
+    """df with one row of each key that is in the column `name` of repeated, and all rows of other keys. Repeats are combined in each task before the shuffle."""
+    clean, suspects = _suspects(df, repeated, key, name)
+    again = suspects.join(repeated.select(name, F.lit(True).alias("_again")).distinct(), name, "left")
+    once = again.where("_again").groupBy(name).agg(F.first("row").alias("row"))
+    return clean.select("row").unionByName(again.where("_again is null").select("row")).unionByName(once.select("row")).select(*row_columns(df.columns))
+
+
+def join_heavy(many: DataFrame, one: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """many joined with one, which has each key once and in column `n` how many rows of many have it (dropped here). Heavy keys, at most MOST_HEAVY, are broadcast; so no key with more than that share of the rows is ever dealt to one task."""
+    least = max(2, -(-total // MOST_HEAVY))
+    heavy, light = one.where(F.col(n) >= least).drop(n), one.where(F.col(n) < least).drop(n)
+    with_heavy = many.join(F.broadcast(heavy), key)
+    others = many.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return with_heavy.unionByName(others.join(light, key, how))

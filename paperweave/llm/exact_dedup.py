@@ -3,12 +3,12 @@
 1. Rows are grouped by length and by a hash of the first characters; one narrow pass gives both, since a column file has no
    cheaper way to a length than to the text. Groups of one row are settled here.
 2. The groups that survive go into a bitmap of fixed size, which is broadcast: the second pass hashes the full content of
-   their rows only. Nothing but short keys is ever shuffled, and counts are combined before the shuffle, so a group that
-   holds a third of all rows is one row of each task's partial result.
+   their rows only. Nothing but short keys is ever shuffled, counts are combined before the shuffle, and the largest groups
+   (at most MOST_HEAVY of them) meet their rows by broadcast, so a group that holds a third of all rows stays spread out.
 
-Defined cases: null counts as the empty text; of equal texts the row with the largest id stays; rows that repeat that id as
-well all count as the row that stays; a null id never wins over another; an empty table gives an empty result; other columns
-are ignored unless carried.
+Defined cases: null counts as the empty text; a very long text is read once and only its hash is kept; of equal texts the row
+with the largest id stays; rows that repeat that id as well all count as the row that stays; a null id never wins over
+another; an empty table gives an empty result; other columns are ignored unless carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, may_survive, survivor_bits
+from .common import join_heavy, materialize, may_survive, survivor_bits
 
 PREFIX = 128
 #: 2 MB of bitmap. With more surviving groups than bits all rows are hashed in full; results do not change.
@@ -35,6 +35,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = F.when(F.col("_more"), F.sha2("_text", 256)).otherwise(F.concat_ws(":", F.col("_length").cast("string"), F.hex("_prefix")))
     keyed = materialize(flagged.select("doc_id", key.alias("_key"), "_more", *carry), "exact")
     groups = keyed.where("_more").groupBy("_key").agg(F.max("doc_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
-    joined = keyed.join(groups, "_key", "left")
+    groups = materialize(groups.withColumn("_n", F.col("_size")), "groups")
+    joined = join_heavy(keyed, groups, "_key", "_n", keyed.count(), "left")
     keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), *carry)

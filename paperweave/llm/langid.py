@@ -5,12 +5,16 @@ of their numbers of distinct n-grams. LANDMARKS training texts span the feature
 for each language. A score is linear in the presence vector of a text, so landmarks and weights fold into one matrix of
 BUCKETS x languages, and a batch of texts is scored by one matrix product.
 
-The classifier is fitted on a bounded sample: about PER_LANGUAGE rows of each language, TRAIN_ROWS in all, drawn by a hash of
-the id. Prediction covers whole texts.
+A text of more than WINDOW letters is scored as the mean over equal windows that cover it whole, as the presence vector of a
+very long text would fill up with chance n-grams and tell less and less.
 
-Defined cases: null text or text without a letter is `und` with score 0; a training row without text is left out; without
-any training row everything is `und`; ties go to the language that sorts first; repeated rows are scored alike; an empty
-table gives an empty result; other columns are ignored.
+The classifier is fitted on a bounded sample: about PER_LANGUAGE rows of each language, TRAIN_ROWS in all (so of TRAIN_ROWS
+languages at most, the most frequent ones), drawn by a hash of the id, and of each such row one window, chosen by that hash.
+So at most TRAIN_ROWS * WINDOW letters come to the driver. Prediction covers whole texts.
+
+Defined cases: null text or text without a letter is `und` with score 0; a very long text is scored whole, by windows; a
+training row without text is left out; without any training row everything is `und`; ties go to the language that sorts first;
+repeated rows are scored alike; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from .wordhash import batches
 NGRAM = 4
 BUCKETS = 1 << 15
 PER_LANGUAGE, TRAIN_ROWS = 300, 1600
+WINDOW = 4096
 LANDMARKS = 240
 RIDGE = 0.1
 #: Steepness of the score as a probability.
@@ -43,27 +48,30 @@ class Model:
     bias: np.ndarray
 
 
-def presence(text: str, out: np.ndarray) -> None:
-    """Marks in a row of BUCKETS the n-grams of a text, lower case."""
+def presence(codes: np.ndarray, out: np.ndarray) -> None:
+    """Marks in a row of BUCKETS the n-grams of lower-case letters."""
+    h = np.zeros(len(codes), np.uint32)
+    for n in range(1, NGRAM + 1):
+        if len(codes) < n:
+            break
+        h = h[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :] + np.uint32(n)
+        out[((h * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int64)] = 1
+
+
+def windows(text: str) -> list[np.ndarray]:
+    """The letters of a text in lower case, cut into equal windows of at most WINDOW."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    for at in range(0, max(1, len(codes)), 1 << 18):
-        part = codes[at : at + (1 << 18) + NGRAM - 1]
-        h = np.zeros(len(part), np.uint32)
-        for n in range(1, NGRAM + 1):
-            if len(part) < n:
-                break
-            h = h[: len(part) - n + 1] * np.uint32(0x01000193) + part[n - 1 :] + np.uint32(n)
-            out[((h * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int64)] = 1
+    return np.array_split(codes, -(-len(codes) // WINDOW)) if len(codes) else [codes]
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def _matrix(texts: list[str]) -> np.ndarray:
-    rows = np.zeros((len(texts), BUCKETS), np.uint8)
-    for row, text in zip(rows, texts, strict=True):
-        presence(text, row)
+def _matrix(parts: list[np.ndarray]) -> np.ndarray:
+    rows = np.zeros((len(parts), BUCKETS), np.uint8)
+    for row, part in zip(rows, parts, strict=True):
+        presence(part, row)
     return rows
 
 
@@ -80,7 +88,9 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    x = _matrix(texts)
+    parts = [windows(t) for t in texts]
+    langs = [g for g, p in zip(langs, parts, strict=True) for _ in p]
+    x = _matrix([w for p in parts for w in p])
     code = np.array([languages.index(g) for g in langs])
     # The same number of landmarks from each language, as far as it has them.
     turn = np.zeros(len(code), np.int64)
@@ -108,13 +118,27 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def scores(model: Model, texts: list[str]) -> np.ndarray:
-    """Texts x languages, one matrix product for each block of texts."""
-    out = np.empty((len(texts), len(model.languages)))
-    for at in range(0, len(texts), 64):
-        x = _matrix(texts[at : at + 64])
+    """Texts x languages, one matrix product for each block of windows."""
+    parts, owner = [], []
+    total, number = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
+
+    def block() -> None:
+        x = _matrix(parts)
         norm = np.sqrt(np.maximum(x.sum(axis=1, dtype=np.int64), 1))
-        out[at : at + 64] = (x.astype(np.float32) @ model.weights) / norm[:, None] + model.bias
-    return out
+        np.add.at(total, owner, (x.astype(np.float32) @ model.weights) / norm[:, None] + model.bias)
+        np.add.at(number, owner, 1)
+        parts.clear()
+        owner.clear()
+
+    for i, text in enumerate(texts):
+        for part in windows(text):
+            parts.append(part)
+            owner.append(i)
+            if len(parts) == 64:
+                block()
+    if parts:
+        block()
+    return total / number[:, None]
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
@@ -126,6 +150,9 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rates = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, min(PER_LANGUAGE, TRAIN_ROWS / len(counts)) / r["count"])))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.where(draw < F.coalesce(rates[F.col("lang")], F.lit(0.0))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / WINDOW))
+    long = F.ceil(F.length("text") / n).cast("int")
+    drawn = drawn.select("lang", F.substring("text", (F.pmod(F.xxhash64("doc_id"), n) * long + 1).cast("int"), long).alias("text"))
     rows = [(r["text"], r["lang"]) for r in drawn.toLocalIterator() if has_letter(r["text"])]
     return [t for t, _ in rows], [g for _, g in rows]
 

@@ -10,13 +10,18 @@ Bands of ROWS coordinates give candidate groups. No group is ever expanded into
 1. documents with identical shingle sets become one class, represented by its smallest id;
 2. every band group is compared with its smallest representative only (a star, linear in the group);
 3. groups whose members then still lie in different components are compared across components: all cross pairs where
-   those are few, otherwise by an exact prefix join on the shingles that are rarest among the members concerned.
-
-So every pair that shares a band is either verified on full sets or already known to be connected.
-
-Defined cases: null or blank text has the empty set and is linked with nothing; fewer than five words make one shingle;
-rows repeated whole are copies of one another; null ids form no links; an empty table gives an empty result; columns other
-than the id and the text are ignored.
+   those are few, otherwise by an exact prefix join on the shingles that are rarest among the members concerned. FEW_PAIRS only
+   chooses between two exact ways. A family whose members share much, yet less than the threshold, has its rarest shingles
+   in no other member, and what is left of a set after its first shared shingle is then too short for a link: such rows do
+   not enter the join at all, so they cost no pairs.
+
+So every pair that shares a band is either verified on full sets or already known to be connected. Keys that many rows share
+(bands, sets, hubs, leads) never meet in one task: the heaviest, bounded in number, are broadcast or dealt out by the other side.
+
+Defined cases: null or blank text has the empty set and is linked with nothing; a very long text is read whole and is a batch of
+its own; fewer than five words make one shingle; ties between ids go to the smallest; rows repeated whole are copies of one
+another; null ids form no links; an empty table gives an empty result; columns other than the id and the text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, may_survive, survivor_bits
+from .common import MOST_HEAVY, discard, join_heavy, materialize, may_survive, survivor_bits
 from .wordhash import SPACE, U64, Texts, batches, hashes, mix, windows
 
 SHINGLE = 5
@@ -42,6 +47,8 @@ FEW_PAIRS = 100
 #: Shingles before a row's own that it carries, so that a pair is made once and not at each common shingle; a pair without one among them is made more than once and then taken as one.
 BEFORE = 64
 SET_BITS = 1 << 24
+#: A set that is in very many pairs is copied once for so many of them.
+PAIRS_PER_COPY = 64
 
 _windows_of_pi: np.ndarray | None = None
 
@@ -132,12 +139,20 @@ def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _with_set(pairs: DataFrame, sets: DataFrame, side: str, other: str, name: str, total: int) -> DataFrame:
+    """pairs with the set of one side. Of ids in very many pairs (at most MOST_HEAVY) the pairs are dealt out by the other side and the set is copied to each part."""
+    least = max(PAIRS_PER_COPY, -(-total // MOST_HEAVY))
+    heavy = F.broadcast(pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_PER_COPY).cast("int").alias("_parts")).where(F.col("_parts") * PAIRS_PER_COPY > least))
+    dealt = pairs.join(heavy, side, "left").withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copied = sets.select(F.col("rep").alias(side), F.col("shingles").alias(name)).join(heavy, side, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [side, "_part"]).drop("_part")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links on their full sets."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    wide = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return wide.mapInArrow(_linked, "a long, b long")
+    """The pairs (a, b) that are links on their full sets. pairs: a written table."""
+    total = pairs.count()
+    wide = _with_set(_with_set(pairs, sets, "a", "b", "x", total), sets, "b", "a", "y", total)
+    return wide.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -146,30 +161,33 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, comp) with comp the smallest rep reachable, for the nodes that have links: large-star / small-star rounds on written tables until nothing changes."""
+    """(rep, comp), a written table, with comp the smallest rep reachable, for the nodes that have links: large-star / small-star rounds on written tables until nothing changes."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
     mark = _mark(edges)
     while mark[0]:
         # Large star: each node links its larger neighbours to its smallest neighbour or itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_heavy(both, low, "u", "n", 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: each node links its smaller neighbours and itself to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "cc")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_heavy(large, least, "u", "n", 2 * mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        old, edges = edges, materialize(small.where("u <> v").distinct(), "cc")
+        discard(old)
         before, mark = mark, _mark(edges)
         if mark == before:
             break
     top = edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("rep"), "comp")
-    return nodes.select("rep").join(top, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
+    out = materialize(nodes.select("rep").join(top, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")), "comp")
+    discard(edges)
+    return out
 
 
 def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs across components that share a band but were not compared with each other. members: band, rep, comp."""
     by_comp = members.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    groups = by_comp.groupBy("band").agg(F.count("*").alias("comps"), ((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", F.lit(2)))) / 2).alias("cross")).where("comps > 1")
-    left = materialize(members.join(groups.select("band", "cross"), "band"), "rest")
+    groups = by_comp.groupBy("band").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), ((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", F.lit(2)))) / 2).alias("cross")).where("comps > 1")
+    left = materialize(join_heavy(members, groups.select("band", "cross", "n"), "band", "n", members.count()), "rest")
     few = left.where(F.col("cross") <= FEW_PAIRS)
     x, y = (few.select("band", F.col("rep").alias(r), F.col("comp").alias(c)) for r, c in (("a", "ca"), ("b", "cb")))
     pairs = x.join(y, "band").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -180,13 +198,16 @@ def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact: two sets that overlap by PERCENT of their union share one of the first n - ceil(PERCENT% of n) + 1 shingles of each, in any one order of all shingles; here the rarest come first. Their first common shingle also leaves enough shingles after it in both."""
     each = nodes.join(sets, "rep").mapInArrow(_explode_sets, "rep long, comp long, size int, shingle long")
-    counts = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    ranked = each.join(counts, "shingle").groupBy("rep", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("lo") < F.col("hi")).alias("mixed")))).alias("s"))
+    counts = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least"))
+    ranked = each.join(counts, "shingle").groupBy("rep", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("lo") < F.col("hi")).alias("mixed"), "least"))).alias("s"))
     # Of the prefix only shingles that other components have as well can meet; each row also carries the first of those before it.
-    numbered = F.transform(F.expr(f"slice(s, 1, size - cast(ceil({PERCENT} * size / 100.0) as int) + 1)"), lambda e, i: F.struct(i.alias("at"), e["shingle"].alias("shingle"), e["mixed"].alias("mixed")))
+    numbered = F.transform(F.expr(f"slice(s, 1, size - cast(ceil({PERCENT} * size / 100.0) as int) + 1)"), lambda e, i: F.struct(i.alias("at"), e["shingle"].alias("shingle"), e["mixed"].alias("mixed"), e["least"].alias("least")))
     meeting = ranked.select("rep", "comp", "size", F.filter(numbered, lambda e: e["mixed"]).alias("p"))
     prefix = meeting.select("rep", "comp", "size", "p", F.posexplode("p").alias("k", "e"))
-    prefix = prefix.select("rep", "comp", "size", (F.col("size") - F.col("e.at")).alias("rest"), "e.shingle", F.transform(F.slice("p", F.lit(1), F.least("k", F.lit(BEFORE))), lambda e: e["shingle"]).alias("before"))
+    prefix = prefix.select("rep", "comp", "size", (F.col("size") - F.col("e.at")).alias("rest"), "e.shingle", "e.least", F.transform(F.slice("p", F.lit(1), F.least("k", F.lit(BEFORE))), lambda e: e["shingle"]).alias("before"))
+    # No partner is smaller than the smallest set with the shingle; what is left of a set has to suffice for one of that size.
+    partner = F.greatest("least", F.ceil(PERCENT * F.col("size") / 100))
+    prefix = prefix.where((100 + PERCENT) * F.col("rest") >= PERCENT * (F.col("size") + partner))
     x, y = (prefix.select("shingle", *[F.col(c).alias(c + side) for c in ("rep", "comp", "size", "rest", "before")]) for side in ("_x", "_y"))
     # An overlap of PERCENT of the union is at least PERCENT / (100 + PERCENT) of both sizes together. A pair is made at its first common shingle alone.
     enough = (100 + PERCENT) * F.least("rest_x", "rest_y") >= PERCENT * (F.col("size_x") + F.col("size_y"))
@@ -207,12 +228,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = materialize(texts.mapInArrow(_describe, "doc_id long, n_shingles long, set_key string, bands array<long>"), "sets")
     # All rows of a class have the same bands, so any of them serves.
-    classes = materialize(described.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = materialize(described.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n")), "classes")
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    groups = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = materialize(banded.join(groups, "band"), "members")
-    star = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    groups = materialize(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1"), "bands")
+    # Only rows whose band may have others are shuffled once more.
+    shared = may_survive(banded, survivor_bits(groups, "band", SET_BITS), "band", "_hit", SET_BITS).where("_hit").drop("_hit")
+    members = materialize(join_heavy(shared, groups, "band", "n", groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "members")
+    star = materialize(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "star")
 
     reps = materialize(members.select("rep").distinct(), "reps")
     bits = survivor_bits(reps, "rep", SET_BITS)
@@ -221,13 +244,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(wanted.select("rep", "text").mapInArrow(_set_rows, "rep long, shingles binary"), "shingles")
 
     links = materialize(verify(star, sets), "links")
-    comp = materialize(components(reps, links), "comp")
-    pending = members.select("band", "rep").join(comp, "rep")
-    more = materialize(verify(_rest(pending, sets), sets), "links")
+    comp = components(reps, links)
+    pending = materialize(members.select("band", "rep").join(comp, "rep"), "pending")
+    rest = materialize(_rest(pending, sets), "rest")
+    more = materialize(verify(rest, sets), "links")
     if not more.isEmpty():
-        comp = components(reps, links.unionByName(more))
+        old, comp = comp, components(reps, links.unionByName(more))
+        discard(old)
+    discard(groups, members, star, reps, sets, links, pending, rest, more)
 
-    of_class = classes.select("set_key", "rep").join(comp, "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
+    of_class = classes.select("set_key", "rep", "n").join(comp, "rep", "left").select("set_key", "n", F.coalesce("comp", "rep").alias("comp"))
     alone = described.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    joined = described.where("set_key is not null and doc_id is not null").join(of_class, "set_key").select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
+    known = described.where("set_key is not null and doc_id is not null").select("doc_id", "n_shingles", "set_key")
+    joined = join_heavy(known, of_class, "set_key", "n", described.count()).select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

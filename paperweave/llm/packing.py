@@ -4,8 +4,10 @@ Every partition packs its own rows, block by block, so nothing is shuffled and n
 its ids and one end id. Full windows are cut off first and are sequences of their own; the rests are placed in order of
 decreasing length, each into the open sequence with the least room that suffices.
 
-Defined cases: null or empty text is the end id alone; repeated rows are packed each; null ids stay null; an empty table
-gives an empty result; other columns are dropped. Sequence numbers are unique in a result, not consecutive.
+Defined cases: null or empty text is the end id alone; a very long text is cut into full windows and a rest; rests of equal
+length are placed in order of rows, and of sequences with equal room the one filled last is taken; repeated rows are packed
+each; null ids stay null; an empty table gives an empty result; other columns are dropped, whatever their names. Sequence
+numbers are unique in a result, not consecutive.
 """
 
 from __future__ import annotations

@@ -9,12 +9,15 @@ span classifier on that table; both run on these few numbers, and the classifier
 Valid strict matches always stay. A looser candidate is added where the classifier gives it at least THRESHOLD and it
 overlaps no span already there.
 
-Offsets come from split() and regexp_extract_all() with one pattern: both walk through the same matches. The patterns are
-written so that their matches are the leftmost ones at a cost linear in the text, however long a run of letters or digits is:
-possessive repeats, and a look-behind with \G in place of starts within a run that already failed.
-
-Defined cases: null text counts as empty and has no spans; repeated rows are treated alike; null ids stay null; an empty
-table gives an empty result; other columns are ignored.
+Offsets come from split() and regexp_extract_all() with one pattern: both walk through the same matches, and the lengths are
+summed up by doubling steps, so n matches in one text cost n log n. Parts of a text are cut from chunks of CHUNK letters, since
+substr() counts from the start of a string. The patterns are written so that their matches are the leftmost ones at a cost
+linear in the text, however long a run of letters or digits is: possessive repeats, and a look-behind with \G in place of
+starts within a run that already failed. Of card numbers only runs of 14 to 19 digits are taken, as no other can be valid.
+
+Defined cases: null text counts as empty and has no spans (redact leaves it null); very long texts and texts of very many
+matches are treated whole; spans that start together are sorted by kind, then end; repeated rows are treated alike; null ids
+stay null; an empty table gives an empty result; other columns are ignored, and returned by redact, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +27,19 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, row_columns, whole_row
+
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.5
 CONTEXT = 32
+CHUNK = 256
 
 # The strict patterns of the contract in linear form.
 _LOCAL = r"[A-Za-z0-9._%+-]"
 STRICT = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
@@ -76,33 +82,44 @@ CONTEXT_NO = r"(?i)\b(version|isbn|issn|order|invoice|sku|serial|section|chapter
 _SPAN = "array<struct<s:int,e:int,t:string,k:int,strict:boolean,v1:int,v2:int,v3:int,p:double>>"
 
 
+def _scan(values: str, step: str, padding: str, back: bool = False) -> str:
+    """Running sums, maxima or the like of an array by doubling steps; from the end where `back`."""
+    moved = f"concat(slice(a, shiftleft(1, i) + 1, size(a) - shiftleft(1, i)), array_repeat({padding}, shiftleft(1, i)))" if back else f"concat(array_repeat({padding}, shiftleft(1, i)), slice(a, 1, size(a) - shiftleft(1, i)))"
+    return f"aggregate(sequence(0, 30), {values}, (a, i) -> if(shiftleft(1, i) >= size(a), a, zip_with(a, {moved}, (x, y) -> {step})))"
+
+
+def _cut(a: str, b: str) -> str:
+    """Letters a to b (from 0, end exclusive) of a text, taken from its chunks."""
+    first, last = f"cast(floor(({a}) / {CHUNK}) as int)", f"cast(floor((({b}) - 1) / {CHUNK}) as int)"
+    one = f"substr(get(_chunks, {first}), ({a}) % {CHUNK} + 1, ({b}) - ({a}))"
+    more = f"concat(substr(get(_chunks, {first}), ({a}) % {CHUNK} + 1), array_join(slice(_chunks, {first} + 2, {last} - {first} - 1), ''), substr(get(_chunks, {last}), 1, (({b}) - 1) % {CHUNK} + 1))"
+    return f"if(({b}) <= ({a}), '', if({first} = {last}, {one}, {more}))"
+
+
 def _found(kind: str, strict: bool) -> Column:
     """Every match with its offsets and votes."""
-    at = f"{kind}{int(strict)}"
-    fold = (
-        f"aggregate(arrays_zip(_p_{at}, _m_{at}), cast(named_struct('at', 0, 'out', array()) as struct<at:int,out:array<struct<s:int,e:int,t:string>>>), "
-        f"(a, x) -> if(x._m_{at} is null, a, cast(named_struct('at', a.at + length(x._p_{at}) + length(x._m_{at}), 'out', concat(a.out, array(named_struct("
-        f"'s', a.at + length(x._p_{at}), 'e', a.at + length(x._p_{at}) + length(x._m_{at}), 't', x._m_{at})))) as struct<at:int,out:array<struct<s:int,e:int,t:string>>>)), a -> a.out)"
-    )
-    before = f"substr(text, greatest(1, x.s - {CONTEXT - 1}), x.s - greatest(1, x.s - {CONTEXT - 1}) + 1)"
+    m, ends = f"_m_{kind}{int(strict)}", f"_e_{kind}{int(strict)}"
+    spans = f"transform(arrays_zip({m}, {ends}), x -> named_struct('s', x.{ends} - length(x.{m}), 'e', x.{ends}, 't', x.{m}))"
+    before = _cut(f"greatest(0, x.s - {CONTEXT})", "x.s")
     v1 = f"if({VALID[kind]}, 1, 0)" if strict else "-1"
     v3 = f"case when {before} rlike r'{CONTEXT_YES[kind]}' then 1 when {before} rlike r'{CONTEXT_NO}' then 0 else -1 end"
-    voted = f"transform({fold}, x -> named_struct('s', x.s, 'e', x.e, 't', x.t, 'k', {KINDS.index(kind)}, 'strict', {'true' if strict else 'false'}, 'v1', {v1}, 'v2', if({GAZETTEER[kind]}, 1, 0), 'v3', {v3}, 'p', cast(0 as double)))"
-    return F.expr(f"cast(if(size(_m_{at}) > 0, {voted}, array()) as {_SPAN})")
+    voted = f"transform({spans}, x -> named_struct('s', x.s, 'e', x.e, 't', x.t, 'k', {KINDS.index(kind)}, 'strict', {'true' if strict else 'false'}, 'v1', {v1}, 'v2', if({GAZETTEER[kind]}, 1, 0), 'v3', {v3}, 'p', cast(0 as double)))"
+    return F.expr(f"cast(if(size({m}) > 0, {voted}, array()) as {_SPAN})")
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `text` (never null) and `_found`, all candidates of a row."""
-    df = docs.withColumn("text", F.coalesce(F.col(text_col), F.lit("")))
+    """`row` (all columns of docs), `text` (never null), `_chunks` (null without candidates) and `_found`, all candidates of a row."""
+    df = docs.select(whole_row(docs).alias("row"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     every = [(k, strict) for k in KINDS for strict in (True, False)]
-    matches, pieces = {}, {}
+    matches, ends, none = {}, {}, F.array().cast("array<string>")
     for kind, strict in every:
-        pattern = (STRICT if strict else LOOSE)[kind]
-        need = F.expr(NEEDS[kind][not strict])
-        matches[f"_m_{kind}{int(strict)}"] = F.when(need, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        pieces[f"_p_{kind}{int(strict)}"] = F.when(F.size(f"_m_{kind}{int(strict)}") > 0, F.split("text", pattern, -1)).otherwise(F.array().cast("array<string>"))
-    df = df.withColumns(matches).withColumns(pieces)
-    return df.withColumn("_found", F.concat(*[_found(k, s) for k, s in every])).drop(*matches, *pieces)
+        pattern, at = (STRICT if strict else LOOSE)[kind], f"{kind}{int(strict)}"
+        matches[f"_m_{at}"] = F.when(F.expr(NEEDS[kind][not strict]), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none)
+        lengths = f"zip_with(_m_{at}, slice(split(text, r'{pattern}', -1), 1, size(_m_{at})), (m, p) -> length(m) + length(p))"
+        ends[f"_e_{at}"] = F.expr(f"if(size(_m_{at}) > 0, {_scan(lengths, 'x + y', '0')}, cast(array() as array<int>))")
+    some = F.expr(" or ".join(f"size({m}) > 0" for m in matches))
+    df = df.withColumns(matches).withColumns(ends | {"_chunks": F.when(some, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))})
+    return df.withColumn("_found", F.concat(*[_found(k, s) for k, s in every])).select("row", "text", "_chunks", "_found")
 
 
 def vote_table(found: DataFrame) -> list[tuple[int, int, int, int, int]]:
@@ -163,17 +180,26 @@ def _probability(weights: list[float]) -> str:
     return f"1D / (1D + exp(-({kind} + {votes})))"
 
 
-def find(docs: DataFrame, text_col: str = "text", weights: list[float] | None = None) -> DataFrame:
-    """docs with `text`, `base` (valid strict spans) and `spans` (those and the added ones), each sorted by start and kind: arrays of (s, k, e)."""
-    found = candidates(docs, text_col)
+def _spans(found: DataFrame, weights: list[float] | None) -> DataFrame:
+    """candidates() with `base` and `spans` in place of `_found`."""
     if weights is None:
         weights = train(vote_table(found))
     short = "c -> named_struct('s', c.s, 'k', c.k, 'e', c.e)"
-    out = found.withColumn("base", F.expr(f"array_sort(transform(filter(_found, c -> c.strict and c.v1 = 1), {short}))"))
-    free = "not exists(base, b -> b.s < c.e and c.s < b.e)"
-    added = f"transform(filter(_found, c -> not c.strict and {free} and {_probability(weights)} >= {THRESHOLD}D), {short})"
-    out = out.withColumn("_added", F.expr(f"if(exists(_found, c -> not c.strict), {added}, filter(base, b -> false))"))
-    return out.withColumn("spans", F.expr("array_sort(concat(base, _added))")).drop("_found", "_added")
+    likely = f"filter(_found, c -> not c.strict and {_probability(weights)} >= {THRESHOLD}D)"
+    out = found.withColumns({"base": F.expr(f"sort_array(transform(filter(_found, c -> c.strict and c.v1 = 1), {short}))"), "_likely": F.expr(f"if(exists(_found, c -> not c.strict), {likely}, filter(_found, c -> false))")})
+    # In one order by start, strict spans first: the furthest end of strict spans up to a candidate, and the nearest start of one after it.
+    mixed = "sort_array(concat(transform(base, c -> named_struct('s', c.s, 'o', 0, 'k', c.k, 'e', c.e)), transform(_likely, c -> named_struct('s', c.s, 'o', 1, 'k', c.k, 'e', c.e))))"
+    out = out.withColumn("_mixed", F.expr(f"if(size(_likely) > 0, {mixed}, slice({mixed}, 1, 0))"))
+    end = _scan("transform(_mixed, c -> if(c.o = 0, c.e, 0))", "greatest(x, y)", "0")
+    start = _scan("transform(_mixed, c -> if(c.o = 0, c.s, 2147483647))", "least(x, y)", "2147483647", back=True)
+    out = out.withColumns({"_end": F.expr(end), "_start": F.expr(start)})
+    added = f"transform(filter(arrays_zip(_mixed, _end, _start), x -> x._mixed.o = 1 and x._end <= x._mixed.s and x._start >= x._mixed.e), x -> named_struct('s', x._mixed.s, 'k', x._mixed.k, 'e', x._mixed.e))"
+    return out.withColumn("spans", F.expr(f"if(size(_likely) > 0, sort_array(concat(base, {added})), base)")).select("row", "text", "_chunks", "base", "spans")
+
+
+def find(docs: DataFrame, text_col: str = "text", weights: list[float] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, text, base, spans): `text` never null, `base` the valid strict spans, `spans` those and the added ones, each sorted by start and kind: arrays of (s, k, e)."""
+    return _spans(candidates(docs, text_col), weights).select(F.col(f"row.{quoted(id_col)}").cast("long").alias("doc_id"), "text", "base", "spans")
 
 
 def as_text(column: str) -> Column:
@@ -188,14 +214,14 @@ def count_of(kind: str) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", weights: list[float] | None = None) -> DataFrame:
     """docs with every span of the text replaced by its kind, as in <EMAIL>; of spans that overlap the first gives the name. A null text stays null."""
-    marked = find(docs.withColumn("_before", F.col(text_col)), text_col, weights)
+    marked = _spans(candidates(docs, text_col), weights)
     names = "array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + ")"
-    cast = "struct<at:int,out:array<string>>"
-    fold = (
-        f"aggregate(spans, cast(named_struct('at', 0, 'out', array()) as {cast}), (a, c) -> cast(named_struct('at', greatest(a.at, c.e), 'out', "
-        f"if(c.s < a.at, a.out, concat(a.out, array(substr(text, a.at + 1, c.s - a.at), element_at({names}, c.k + 1))))) as {cast}), a -> concat(array_join(a.out, ''), substr(text, a.at + 1)))"
-    )
-    clean = F.when(F.col("_before").isNull(), F.col("_before")).when(F.size("spans") == 0, F.col("text")).otherwise(F.expr(fold))
-    out = marked.withColumn("_clean", clean).drop("base", "spans", "_before")
-    out = out.withColumn(text_col, F.col("_clean")).drop("_clean")
-    return out.select(docs.columns)
+    reach = _scan("transform(spans, c -> c.e)", "greatest(x, y)", "0")
+    marked = marked.withColumn("_reach", F.expr(f"if(size(spans) > 0, {reach}, cast(array() as array<int>))"))
+    pieces = f"transform(arrays_zip(spans, _from), x -> if(x.spans.s < x._from, '', concat({_cut('x._from', 'x.spans.s')}, element_at({names}, x.spans.k + 1))))"
+    marked = marked.withColumn("_from", F.expr("if(size(spans) > 0, concat(array(0), slice(_reach, 1, size(spans) - 1)), _reach)"))
+    tail = _cut("element_at(_reach, -1)", "length(text)")
+    before = F.col(f"row.{quoted(text_col)}")
+    clean = F.when(before.isNull(), before).when(F.size("spans") == 0, before).otherwise(F.expr(f"concat(array_join({pieces}, ''), {tail})"))
+    out = marked.select("row", clean.alias("clean"))
+    return out.select(*[F.col("clean").alias(c) if c == text_col else column for c, column in zip(docs.columns, row_columns(docs.columns), strict=True)])

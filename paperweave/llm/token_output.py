@@ -1,6 +1,7 @@
 """Token shards in training order: a keyed Feistel permutation with cycle-walking gives every sequence a global slot.
 
-1. Documents are tokenised and packed in their partitions; sequences stay there (memory, then disk) while they are counted.
+1. Documents are tokenised and packed in their partitions, and the sequences are written, compressed, to the shared folder: a lost
+   executor never makes a partition tokenise anew, in another order of rows, what is numbered already.
 2. Partition sizes give every sequence a dense index; the permutation maps 0..N-1 onto itself, so slots are dense as well.
 3. Each partition of the second stage owns a range of slots, sorts it and writes whole shards of a fixed stride, each under a
    temporary name first. A shard that a lost executor leaves behind is written anew with the same bytes, so reads resume at
@@ -8,8 +9,9 @@
 
 A record is LENGTH ids of 16 bits, little-endian, padded with the end id.
 
-Defined cases: null or empty text is the end id alone; repeated rows are written each; an empty table writes nothing; other
-columns are dropped. Ids must be below 65,536.
+Defined cases: null or empty text is the end id alone; a very long text is cut into full sequences; equal lengths are placed in
+order of rows; repeated rows and rows with a null id are written each; an empty table writes nothing; other columns are dropped,
+whatever their names. An id of 65,536 or more is a ValueError.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from ..session import shared_dir
+from .common import discard, materialize
 from .packing import LENGTH, _encoded, pack_rows
 from .wordhash import mix
 
@@ -57,11 +61,19 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def narrow(ids: bytes) -> bytes:
+    """Ids of 32 bits as ids of 16 bits."""
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > 0xFFFF:
+        raise ValueError(f"id {wide.max()} needs more than 16 bits")
+    return wide.astype("<u2").tobytes()
+
+
 def _records(path: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, local = TaskContext.get().partitionId(), 0
-        narrow = ((d, np.frombuffer(b, "<u4").astype("<u2").tobytes()) for d, b in _encoded(it, path))
-        for pieces in pack_rows(narrow, width=WIDTH):
+        squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+        for pieces in pack_rows(((d, narrow(b)) for d, b in _encoded(it, path)), width=WIDTH):
             pieces.sort(key=lambda x: (x[5], x[6]))
             rows: list[tuple[bytes, int, int]] = []
             last = None
@@ -74,7 +86,7 @@ def _records(path: str):
                 last = sequence
             for at in range(0, len(rows), 2000):
                 b, t, k = zip(*rows[at : at + 2000], strict=True)
-                size = len(b)
+                b, size = [squeeze(x) for x in b], len(b)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * size, pa.int32()), pa.array(range(local, local + size), pa.int64()), pa.array(t, pa.int32()), pa.array(k, pa.int32()), pa.array(b, pa.binary())], names=["part", "local", "n_tokens", "n_pieces", "tokens"])
                 local += size
 
@@ -85,6 +97,7 @@ def _writer(target: str, shard_sequences: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(target)
         shard, out, name, attempt = -1, None, "", TaskContext.get().taskAttemptId()
+        expand = zstandard.ZstdDecompressor().decompress
 
         def close() -> None:
             if out is not None:
@@ -100,7 +113,7 @@ def _writer(target: str, shard_sequences: int):
                     shard = slot // shard_sequences
                     name = f"shard-{shard:08d}.bin"
                     out = store.open_output_stream(f"{root}/.{name}-{attempt}")
-                record = ids.ljust(STRIDE, b"\0")
+                record = expand(ids).ljust(STRIDE, b"\0")
                 out.write(record)
                 crc.append(zlib.crc32(record))
             at = np.array(slots, np.int64)
@@ -117,29 +130,28 @@ def write_shards(docs: DataFrame, path: str, target: str | None = None, key: int
     target = target if "://" in target or target.startswith("file:") else f"file://{target}"
     store, root = fs.FileSystem.from_uri(target)
     store.create_dir(root)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_records(path), "part int, local long, n_tokens int, n_pieces int, tokens binary").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        # One number for each partition, however large the input.
-        sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
-        n, base = 0, {}
-        for part in sorted(sizes):
-            base[part], n = n, n + sizes[part]
-        if not n:
-            return target, spark.createDataFrame([], MANIFEST)
-        starts = spark.createDataFrame(list(base.items()), "part int, base long")
-
-        @F.pandas_udf("long")
-        def slot(index: pd.Series) -> pd.Series:
-            return pd.Series(feistel(index.to_numpy(np.int64), n, key))
-
-        shards = -(-n // shard_sequences)
-        tasks = min(shards, MOST_TASKS)
-        placed = rows.join(F.broadcast(starts), "part").select(slot(F.col("base") + F.col("local")).alias("slot"), "n_tokens", "n_pieces", "tokens")
-        owner = (F.floor(F.col("slot") / shard_sequences) * tasks / shards).cast("int")
-        ranged = placed.repartitionById(tasks, owner).sortWithinPartitions("slot")
-        manifest = materialize(ranged.mapInArrow(_writer(target, shard_sequences), MANIFEST), "manifest")
-    finally:
-        rows.unpersist()
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_records(path), "part int, local long, n_tokens int, n_pieces int, tokens binary")
+    rows = materialize(packed, "sequences")
+    # One number for each partition, however large the input.
+    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    n, base = 0, {}
+    for part in sorted(sizes):
+        base[part], n = n, n + sizes[part]
+    if not n:
+        return target, spark.createDataFrame([], MANIFEST)
+    starts = spark.createDataFrame(list(base.items()), "part int, base long")
+
+    @F.pandas_udf("long")
+    def slot(index: pd.Series) -> pd.Series:
+        return pd.Series(feistel(index.to_numpy(np.int64), n, key))
+
+    shards = -(-n // shard_sequences)
+    tasks = min(shards, MOST_TASKS)
+    placed = rows.join(F.broadcast(starts), "part").select(slot(F.col("base") + F.col("local")).alias("slot"), "n_tokens", "n_pieces", "tokens")
+    owner = (F.floor(F.col("slot") / shard_sequences) * tasks / shards).cast("int")
+    ranged = placed.repartitionById(tasks, owner).sortWithinPartitions("slot")
+    manifest = materialize(ranged.mapInArrow(_writer(target, shard_sequences), MANIFEST), "manifest")
+    discard(rows)
     return target, manifest
 
 

@@ -5,11 +5,15 @@ swapping identity terms for others of the same kind; the training loss penalises
 two, so that naming a group as such moves no score.
 
 The classifier is fitted on a bounded sample of labelled rows (at most about PER_CLASS of each class, drawn by a hash of the
-id) and at most FEATURES words, those that tell the classes apart best in it. Scoring covers whole texts.
-
-Defined cases: null or empty text scores by the intercept alone; a document labelled twice counts as toxic if any label says
-so; null labels are left out; without labels of both classes every score is the share of toxic labels, 0.5 if there are none;
-repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
+id) and at most FEATURES words, those that tell the classes apart best in it; they are counted and chosen in Spark, so what
+comes to the driver is bounded by 3 * PER_CLASS rows of that many features, however long the texts are. Scoring covers whole
+texts.
+
+Defined cases: null or empty text scores by the intercept alone; a very long text counts by its distinct words like any other;
+words that tell the classes apart equally well are taken by their hashes; a document labelled twice counts as toxic if any
+label says so; null labels and null ids among the labels are left out; without labels of both classes every score is the share
+of toxic labels, 0.5 if there are none; repeated rows are scored alike; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
-from .wordhash import Texts, batches, hashes
+from .common import crc_mod, discard, materialize
+from .wordhash import U64, Texts, batches, hashes
 
 PER_CLASS = 4000
 FEATURES = 600
@@ -86,52 +90,79 @@ def _training_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([h[cut[i] : cut[i + 1]].view(np.int64) for i in range(n)], pa.list_(pa.int64()))], names=["doc_id", "toxic", "words"])
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct words and labels of the training rows. The drawn labels are bounded and broadcast; no text is shuffled."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & (crc_mod("doc_id", MODULUS) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+@dataclass
+class Sample:
+    """Training rows: sorted feature hashes, labels, presence of the features, and for the rows that name a group their numbers and what swapping changes."""
+
+    features: np.ndarray
+    toxic: np.ndarray
+    present: np.ndarray
+    named: np.ndarray
+    change: np.ndarray
+
+
+def _indexed(features: np.ndarray):
+    """Of each training row the numbers of the features that it has, and, where it names a group, of those it has after swapping."""
+    old, new = swaps()
+
+    def numbers(h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(features, h), len(features) - 1)
+        return np.unique(at[features[at] == h]) if len(features) else np.zeros(0, np.int64)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = [np.array(x or [], np.int64).view(U64) for x in batch.column(2).to_pylist()]
+            has, swapped = [], []
+            for h in rows:
+                at = np.minimum(np.searchsorted(old, h), len(old) - 1)
+                named = old[at] == h
+                has.append(numbers(h))
+                swapped.append(numbers(np.where(named, new[at], h)) if named.any() else None)
+            ints = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(has, ints), pa.array(swapped, ints)], names=["doc_id", "toxic", "has", "swapped"])
+
+    return run
+
+
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sample:
+    """The drawn labels are bounded and broadcast; no text is shuffled, and no text and no list of words leaves the executors."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod("doc_id", MODULUS) != HELD_OUT)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    none = np.zeros((0, 0), np.float32)
     if not counts:
-        return [], np.zeros(0)
+        return Sample(np.zeros(0, U64), np.zeros(0), none, np.zeros(0, np.int64), none)
     rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, PER_CLASS / n)))])[F.col("toxic")]
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < rate).orderBy(F.xxhash64("doc_id")).limit(3 * PER_CLASS)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_training_words, "doc_id long, toxic int, words array<long>").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    flat = rows["words"].combine_chunks()
-    values, at = flat.flatten().to_numpy(zero_copy_only=False).view(np.uint64), flat.offsets.to_numpy() - flat.offsets[0].as_py()
-    return [values[at[i] : at[i + 1]] for i in order], rows["toxic"].to_numpy()[order].astype(float)
-
-
-def fit(words: list[np.ndarray], toxic: np.ndarray, steps: int = 300) -> Model:
-    toxic = (np.asarray(toxic) > 0).astype(float)
+    rows = materialize(texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_training_words, "doc_id long, toxic int, words array<long>"), "training")
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = n1 / n if n else 0.0
+    words = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1"))
+    # How far a word's toxic share lies from the overall one, in standard errors. Identity terms are features whenever they occur, so that the penalty can hold them.
+    z = F.abs(F.col("n1") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1)
+    best = words.where(F.col("n") >= LEAST_ROWS).orderBy(z.desc(), "word").limit(FEATURES).select("word")
+    terms = words.where(F.col("word").isin(swaps()[0].view(np.int64).tolist())).select("word")
+    chosen = sorted({r["word"] & (1 << 64) - 1 for r in best.unionByName(terms).collect()})
+    features = np.array(chosen, U64)
+    found = rows.mapInArrow(_indexed(features), "doc_id long, toxic int, has array<long>, swapped array<long>").toArrow().to_pylist()
+    found.sort(key=lambda r: r["doc_id"])
+    discard(rows)
+    present = np.zeros((len(found), len(features)), np.float32)
+    named = np.array([i for i, r in enumerate(found) if r["swapped"] is not None], np.int64)
+    change = np.zeros((len(named), len(features)), np.float32)
+    for row, r in zip(present, found, strict=True):
+        row[r["has"]] = 1
+    for row, i in zip(change, named, strict=True):
+        row[found[i]["swapped"]] = 1
+        row -= present[i]
+    return Sample(features, np.array([r["toxic"] for r in found], float), present, named, change)
+
+
+def fit(rows: Sample, steps: int = 300) -> Model:
+    toxic, x, swapped, features = rows.toxic, rows.present, rows.change, rows.features
     if not len(toxic) or toxic.min() == toxic.max():
         share = toxic.mean() if len(toxic) else 0.5
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    flat = np.concatenate(words)
-    doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    terms, back = np.unique(flat, return_inverse=True)
-    n, n1 = np.bincount(back, minlength=len(terms)), np.bincount(back, toxic[doc], len(terms))
-    # How far a word's toxic share lies from the overall one, in standard errors.
-    share = toxic.mean()
-    z = np.abs(n1 - n * share) / np.sqrt(n * share * (1 - share) + 1)
-    chosen = np.sort(np.argsort(-np.where(n >= LEAST_ROWS, z, 0), kind="stable")[:FEATURES])
-    chosen = chosen[n[chosen] >= LEAST_ROWS]
-    # Identity terms are features whenever they occur, so that the penalty can hold them.
-    old, new = swaps()
-    chosen = np.union1d(chosen, np.flatnonzero(np.isin(terms, old)))
-    features = terms[chosen]
-
-    def matrix(h: np.ndarray, d: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(words), len(features)), np.float32)
-        at = np.minimum(np.searchsorted(features, h), max(0, len(features) - 1))
-        hit = features[at] == h if len(features) else np.zeros(len(h), bool)
-        x[d[hit], at[hit]] = 1
-        return x
-
-    x = matrix(flat, doc)
-    at = np.minimum(np.searchsorted(old, flat), len(old) - 1)
-    named = old[at] == flat
-    swapped = matrix(np.where(named, new[at], flat), doc)[np.unique(doc[named])] - x[np.unique(doc[named])]
+        return Model(np.zeros(0, U64), np.zeros(0), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     weight = np.where(toxic > 0, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
     w, b = np.zeros(len(features)), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -163,6 +194,6 @@ def _score(model: Model):
 
 def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted) for every row; fits a model on docs and labels where none is given."""
-    model = model or fit(*sample(docs, labels, id_col, text_col))
+    model = model or fit(sample(docs, labels, id_col, text_col))
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(model), "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
