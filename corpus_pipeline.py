@@ -2,16 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns documents with the same
 columns; the last returns the packed pieces. Between stages the rows are written and read again, so that a lost executor costs one
-stage at most.
+stage at most; a stage's table goes as soon as the next one is written.
+
+Defined cases, for every stage: a row is known by its id and its text together, so a repeated or null id never takes an
+unrelated row with it; null text counts as empty; very long texts are read whole; of rows equal in id and text that a dedup
+stage keeps, one stays; an empty table stays empty; further columns may have any names, and are returned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.llm import exact_dedup, near_dedup, packing, pii, quality
-from paperweave.llm.common import drop_rows, materialize, may_survive, survivor_bits, table
+from paperweave.llm.common import discard, drop_rows, materialize, may_survive, one_of_each, row_columns, survivor_bits, table, whole_row
 from paperweave.llm.queries import BYTE_BPE
 from paperweave.session import ship
 
@@ -21,33 +25,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-#: A row by its id, which can be null or repeated, and its text (null counts as empty).
-ROW = F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
+def _row() -> Column:
+    """A row by its id, which can be null or repeated, and its text (null counts as empty)."""
+    return F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    dropped = exact_dedup.exact_duplicates(docs, carry={"_row": ROW}).where("not kept").select("_row")
-    return drop_rows(docs.withColumn("_row", ROW), materialize(dropped, "dropped"), "_row").drop("_row")
+    """Of equal texts one row stays: that with the largest id, any id before a null one."""
+    found = exact_dedup.exact_duplicates(docs, carry={"_row": _row()}).where("group_size > 1")
+    found = materialize(found.groupBy("_row").agg(F.first("kept").alias("kept"), F.count("*").alias("n")).withColumnRenamed("_row", "_key"), "copies")
+    left = drop_rows(docs, found.where("not kept"), _row())
+    return one_of_each(left, found.where("kept and n > 1"), _row())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    numbered = _numbered(docs)
-    dropped = near_dedup.near_duplicates(numbered, "_row").where("not kept").select(F.col("doc_id").alias("_row"))
-    return drop_rows(numbered, materialize(dropped, "dropped"), "_row").drop("_row")
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with `_row`: the id where no other row has it; else, and for a null id, a number from id and text above 2^62, so that ids in use come first."""
-    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    repeated = materialize(repeated, "repeated")
-    flagged = may_survive(docs, survivor_bits(repeated, "doc_id"), "doc_id", "_suspect")
-    suspects = flagged.where("_suspect").join(repeated.withColumn("_again", F.lit(True)), "doc_id", "left")
-    both = flagged.where("not _suspect").withColumn("_again", F.lit(None).cast("boolean")).unionByName(suspects)
-    number = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))
-    unique = F.col("doc_id").isNotNull() & F.col("_again").isNull()
-    return both.withColumn("_row", F.when(unique, F.col("doc_id").cast("long")).otherwise(number)).select(*docs.columns, "_row")
+    """One document of each group of near-duplicates stays: that with the smallest id, any id before a null or repeated one."""
+    numbered, again = _numbered(docs)
+    found = near_dedup.near_duplicates(numbered.select("number", "row.text"), "number")
+    dropped = materialize(found.where("not kept").select(F.col("doc_id").alias("_key")), "dropped")
+    left = drop_rows(numbered, dropped, F.col("number")).select(*row_columns(docs.columns))
+    return one_of_each(left, again, _row())
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, number), the number being the id where no other row has it, else one from id and text above 2^62, so that ids in use come first; and the keys of rows that repeat both id and text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), _row().alias("_key"))
+    each = rows.groupBy("id", "_key").agg(F.count("*").alias("n"))
+    many = materialize(each.groupBy("id").agg(F.sum("n").alias("n")).where("id is null or n > 1"), "repeated")
+    again = materialize(each.where("n > 1").select("_key"), "repeated")
+    wide = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), _row().alias("key"))
+    other = F.lit(1 << 62) + F.xxhash64("key").bitwiseAND(F.lit((1 << 62) - 1))
+    flagged = may_survive(wide, survivor_bits(many, "id"), "id", "_suspect")
+    plain = flagged.where("not _suspect").select("row", F.coalesce("id", other).alias("number"))
+    suspects = flagged.where("_suspect").join(many.select("id", F.lit(True).alias("_again")), "id", "left")
+    return plain.unionByName(suspects.select("row", F.when(F.col("_again"), other).otherwise(F.col("id")).alias("number"))), again
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +83,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(ship(spark), sf_dir, "documents")
+    docs, written = table(ship(spark), sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
