@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation, localcontext
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -87,13 +88,18 @@ def _visit(node: ast.AST, names: dict[str, Decimal]) -> Decimal:
     raise ValueError(f"{type(node).__name__} is not allowed")
 
 
+@lru_cache(maxsize=4096)
+def _tree(text: str) -> ast.AST:
+    return ast.parse(text, mode="eval").body
+
+
 def evaluate(expression: str, names: dict[str, Decimal]) -> Decimal:
     """+ - * / ** and abs min max round over named decimals, to 38 digits; ValueError for anything else."""
     text = (expression or "").strip()
     if not 0 < len(text) <= LONGEST:
         raise ValueError("expression must have 1 to 500 characters")
     try:
-        tree = ast.parse(text, mode="eval").body
+        tree = _tree(text)
         with localcontext() as context:
             context.prec = DIGITS
             return _visit(tree, names)
@@ -122,12 +128,12 @@ def normal_form(text: str | None) -> str:
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC with plain dashes, brackets and commas; Spark has no such function."""
-    return F.pandas_udf(_nfkc, "string")(text)
+    """NFKC with plain dashes, brackets and commas; Spark has no such function. Texts of ASCII letters stay in the JVM."""
+    return F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
 
 
 def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(normal_form)
+    return texts.map(normal_form, na_action="ignore")
 
 
 def number_tokens(text: Column) -> Column:

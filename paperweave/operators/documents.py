@@ -45,10 +45,18 @@ def quality_rollup(pages: DataFrame) -> DataFrame:
     return out.withColumn("garbled_ratio", ratio).withColumn("quality_score", F.least(F.lit(1.0), F.col("avg_chars") / quality.FULL_PAGE) * (1 - ratio))
 
 
-def sections_found(text: Column, sections: dict[str, tuple[str, ...]]) -> Column:
-    """Names of the sections of which some pattern is in the text; white space counts as one blank, case does not count."""
-    body = F.lower(F.regexp_replace(text_of(text), r"\s+", " "))
-    return F.array_compact(F.array(*[F.when(body.rlike("|".join(f"(?:{p})" for p in patterns)), name) for name, patterns in sections.items()]))
+#: Without one of these letters no pattern of a section matches; a cheap test before the patterns.
+NEEDED = {
+    "auditor_report": ("auditor", "師報告", "师报告", "計報告", "计报告"), "financial_statements": ("financial", "財務", "财务"), "notes": ("note", "註", "注"),
+    "financial_position": ("financial", "balance", "狀況表", "状况表", "負債表", "负债表"), "profit_or_loss": ("statement", "收益表", "利潤表", "利润表", "損益表", "损益表"),
+    "offering_title": ("prospectus", "global", "招股", "全球"), "risk_factors": ("risk", "風險", "风险"), "business": ("business", "業務", "业务"),
+    "financial_information": ("financial", "財務", "财务"), "accountants_report": ("accountant", "會計師", "会计师"),
+}
+
+
+def sections_found(body: Column, sections: dict[str, tuple[str, ...]]) -> Column:
+    """Names of the sections of which some pattern is in the text. body: lower case, white space as one blank."""
+    return F.array_compact(F.array(*[F.when(contains_any(body, NEEDED[name]) & body.rlike("|".join(f"(?:{p})" for p in patterns)), name) for name, patterns in sections.items()]))
 
 
 def _status(pages: Column, chars: Column, whole: Column, few: int, many: int) -> Column:
@@ -63,7 +71,8 @@ def completeness(pages: DataFrame, kind: str = "annual_report", few: int | None
     annual = kind == "annual_report"
     sections = ANNUAL_SECTIONS if annual else PROSPECTUS_SECTIONS
     few, many = few if few is not None else (5 if annual else 15), many if many is not None else (30 if annual else 50)
-    per_page = pages.select("document_id", F.length(F.trim(F.regexp_replace(text_of(F.col("text")), r"\s+", " "))).alias("n"), sections_found(F.col("text"), sections).alias("s"))
+    once = pages.select("document_id", F.lower(F.regexp_replace(text_of(F.col("text")), r"\s+", " ")).alias("_body"))
+    per_page = once.select("document_id", F.length(F.trim("_body")).alias("n"), sections_found(F.col("_body"), sections).alias("s"))
     out = per_page.groupBy("document_id").agg(F.count("*").alias("page_count"), F.sum("n").alias("extracted_chars"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("s")))).alias("matched_sections"))
     has = lambda *names: reduce(lambda a, b: a & b, [F.array_contains("matched_sections", n) for n in names])
     if annual:
@@ -88,7 +97,7 @@ def identity(documents: DataFrame) -> DataFrame:
     quoted = F.regexp_replace(symbol, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
     exact = F.regexp_like(text, F.concat(F.lit("(?i)(?<![0-9])"), quoted, F.lit("(?![0-9])")))
     labelled = F.regexp_like(text, F.concat(F.lit("(?i)(?:stock\\s*code|股份代[號号]|股票代[碼码]|證券代碼|证券代码)[^0-9]{0,24}0*"), F.regexp_replace(digits, r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit("(?![0-9])")))
-    code = F.when(symbol != "", exact | labelled)
+    code = F.when(symbol != "", F.upper(text).contains(digits) & (exact | labelled))  # a cheap test before the patterns
     signals = F.array_compact(F.array(company, code))
     return documents.withColumns({"year_match": year, "company_match": company, "symbol_match": code}).withColumn("passed", F.coalesce(F.col("year_match"), F.lit(True)) & ((F.size(signals) == 0) | F.array_contains(signals, True)))
 

@@ -165,7 +165,8 @@ def wants(query: Column, hints: tuple[str, ...]) -> Column:
 
 
 def combine_packets(first: DataFrame, more: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """Pages of both packets; for a page in both, the later text with the earlier id and place. Columns: keys, evidence_id, place, text."""
-    a, b = first.alias("a"), more.alias("b")
+    """Pages of both packets; for a page in both, the later text with the earlier id and place. Places of added pages follow the largest earlier one. Columns: keys, evidence_id, place, text."""
+    after = first.agg((F.coalesce(F.max("place"), F.lit(0)) + 1).alias("_after"))
+    a, b = first.alias("a"), more.crossJoin(F.broadcast(after)).alias("b")  # one row
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    return a.join(b, on, "full_outer").select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], F.coalesce("a.evidence_id", "b.evidence_id").alias("evidence_id"), F.coalesce("a.place", F.col("b.place") + 1_000_000).alias("place"), F.coalesce("b.text", "a.text").alias("text"))
+    return a.join(b, on, "full_outer").select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], F.coalesce("a.evidence_id", "b.evidence_id").alias("evidence_id"), F.coalesce("a.place", F.col("b.place") + F.col("b._after")).alias("place"), F.coalesce("b.text", "a.text").alias("text"))

@@ -44,8 +44,10 @@ def source_key(source: Column, *ids: Column) -> Column:
 
 
 def merge_sources(seen: DataFrame, key: str, time: str, keep_first: list[str], keep_last: list[str]) -> DataFrame:
-    """One row for each key: first and last time seen, some values as first given, others as last given."""
-    return seen.groupBy(key).agg(F.min(time).alias("first_seen_at"), F.max(time).alias("last_seen_at"), F.count("*").alias("times_seen"), *[F.min_by(c, time).alias(c) for c in keep_first], *[F.max_by(c, time).alias(c) for c in keep_last])
+    """One row for each key: first and last time seen, some values as first given, others as last given. Of rows of one time the values that sort first count as first, those that sort last as last."""
+    first, last = (F.struct(time, *names) for names in (keep_first, keep_last))
+    out = seen.groupBy(key).agg(F.min(time).alias("first_seen_at"), F.max(time).alias("last_seen_at"), F.count("*").alias("times_seen"), F.min(first).alias("_first"), F.max(last).alias("_last"))
+    return out.select(key, "first_seen_at", "last_seen_at", "times_seen", *[F.col(f"_first.{c}").alias(c) for c in keep_first], *[F.col(f"_last.{c}").alias(c) for c in keep_last])
 
 
 def freshness(now: Column, fetched: Column, expires: Column, max_age_seconds: int | None = None) -> Column:
@@ -144,7 +146,8 @@ def fallback(branches: list[DataFrame], keys: list[str]) -> DataFrame:
     return every.join(least, [*keys, "branch"], "left_semi")
 
 
-def override(cached: DataFrame, linked: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Cached rows, with each field that the linked row of the same key gives and that is not blank; of several linked rows the last counts."""
-    b = linked.select(F.col(key).alias("_key"), *[F.col(f).alias(f"_{f}") for f in fields])
+def override(cached: DataFrame, linked: DataFrame, key: str, fields: list[str], order: list[str] | None = None) -> DataFrame:
+    """Cached rows, with each field that the linked row of the same key gives and that is not blank; of several linked rows the last by `order` counts, ties by the fields themselves."""
+    last = linked.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*(order or []), *[F.col(f).alias(f"_{f}") for f in fields])).alias("_b"))
+    b = last.select("_key", *[F.col(f"_b._{f}") for f in fields])
     return cached.join(b, F.col(key) == F.col("_key"), "left").select(*[F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), F.col(c)).alias(c) if c in fields else F.col(c) for c in cached.columns])

@@ -11,7 +11,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compact, phrase, text_of
+from ..functions.text import phrase, text_of
 
 #: Words that make a longer query worth an exact phrase filter. Fixed values.
 PHRASE_WORDS = ("a", "an", "and", "for", "from", "in", "of", "or", "the", "to", "with")
@@ -24,7 +24,8 @@ _BARE = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
 
 def fold(c: Column) -> Column:
     """Lower case without accents on Latin letters."""
-    return F.translate(F.lower(text_of(c)), "".join(_ACCENTED), _BARE.lower())
+    low = F.lower(text_of(c))
+    return F.when(low.rlike("[^\\x00-\\x7f]"), F.translate(low, "".join(_ACCENTED), _BARE.lower())).otherwise(low)
 
 
 def tokens(c: Column) -> Column:
@@ -32,13 +33,18 @@ def tokens(c: Column) -> Column:
 
 
 def word_hits(pages: DataFrame, queries: DataFrame, match_ids: bool = True) -> DataFrame:
-    """(query_id, document_id, page_no) of pages that have every token of the query, in the text or the document's id."""
-    wanted = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("t"))
-    wanted = wanted.select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("token"))
+    """(query_id, document_id, page_no) of pages that have every token of the query, in the text or the document's id.
+
+    A query meets a page on one of its tokens only, the longest, as a rule a rare one; the others are tested on the page's own
+    list of tokens. So a common word makes no rows for the queries that hold it, and nothing is counted after the join.
+    """
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("_all")).where(F.size("_all") > 0)
+    longest = F.get(F.sort_array(F.transform("_all", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), F.lit(0))["t"]
+    asked = asked.withColumn("_token", longest)
     body = F.concat_ws(" ", F.col("document_id"), F.col("text")) if match_ids else F.col("text")
-    posted = pages.select("document_id", "page_no", F.explode(F.array_distinct(tokens(body))).alias("token"))
-    met = posted.join(wanted, "token").groupBy("query_id", "document_id", "page_no", "n_terms").agg(F.count("*").alias("n"))
-    return met.where("n = n_terms").select("query_id", "document_id", "page_no")
+    listed = pages.select("document_id", "page_no", F.array_distinct(tokens(body)).alias("_has"))
+    met = listed.select("document_id", "page_no", "_has", F.explode("_has").alias("_token")).join(asked, "_token")
+    return met.where(F.size(F.array_except("_all", "_has")) == 0).select("query_id", "document_id", "page_no")
 
 
 def phrase_filter(hits: DataFrame, pages: DataFrame, queries: DataFrame) -> DataFrame:
@@ -62,24 +68,28 @@ def occurrences(body: Column, term: str) -> Column:
     return ((F.length(body) - F.length(F.replace(body, F.lit(term)))) / len(term)).cast("int")
 
 
-def substring_score(text: Column, query: str) -> Column:
-    """100 for each term found and its number of places (20 at most), on text without white space."""
-    body = compact(text)
-    counts = [F.least(F.lit(MOST_COUNT), occurrences(body, "".join(t.lower().split()))) for t in terms_of(query)]
-    return sum((F.when(n > 0, n + 100).otherwise(0) for n in counts), F.lit(0))
+def substring_score(body: Column, query: str) -> Column:
+    """100 for each term found and its number of places (20 at most). body: a text through compact()."""
+    counts = F.array(*[F.least(F.lit(MOST_COUNT), occurrences(body, "".join(t.lower().split()))) for t in terms_of(query)])
+    return F.aggregate(counts, F.lit(0), lambda a, n: a + n + F.when(n > 0, 100).otherwise(0))
 
 
 def substring_hits(pages: DataFrame, queries: list[tuple[str, str]], relaxed: bool = False) -> DataFrame:
     """(query_id, document_id, page_no, score) of pages with the whole query; with parts of it where no page has the whole, or where relaxed."""
-    found = []
+    found, score = [], None
     for name, query in queries:
         parts = [t for t in terms_of(query)[1:17] if len(t) >= 2]
-        whole = F.lower(text_of(F.col("text"))).contains(query.strip().lower())
+        whole = F.col("_low").contains(query.strip().lower())
         part = F.lit(False)
         for t in parts:
-            part = part | F.lower(text_of(F.col("text"))).contains(t.lower())
-        found.append(F.when(whole | part, F.struct(F.lit(name).alias("query_id"), whole.alias("whole"), substring_score(F.col("text"), query).alias("score"))))
-    hits = pages.select("document_id", "page_no", F.explode(F.array_compact(F.array(*found))).alias("h")).select("h.query_id", "document_id", "page_no", "h.whole", "h.score")
+            part = part | F.col("_low").contains(t.lower())
+        found.append(F.when(whole | part, F.struct(F.lit(name).alias("query_id"), whole.alias("whole"))))
+        score = (F if score is None else score).when(F.col("query_id") == name, substring_score(F.col("_body"), query))
+    # Each page is lowered once, and white space is stripped from hits alone.
+    low = pages.select("document_id", "page_no", F.lower(text_of(F.col("text"))).alias("_low"))
+    hits = low.select("document_id", "page_no", "_low", F.explode(F.array_compact(F.array(*found))).alias("h"))
+    hits = hits.select("h.query_id", "document_id", "page_no", "h.whole", F.regexp_replace("_low", r"\s+", "").alias("_body"))
+    hits = hits.select("query_id", "document_id", "page_no", "whole", score.alias("score"))
     if relaxed:
         return hits.drop("whole")
     some = hits.where("whole").select("query_id").distinct().withColumn("_some", F.lit(True))

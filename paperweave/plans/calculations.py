@@ -1,8 +1,13 @@
 """Sets of cited calculations: variables are bound to evidence texts or to earlier results, expressions evaluated exactly, statuses rolled up.
 
 calculations: set_id, calculation_id, expression, expected (text or null), absolute_tolerance, relative_tolerance (text or null),
-expected_precision (int or null), checks array<string> such as same_unit, and variables, an array of VARIABLE.
-evidence: evidence_id, text. Ids and results are joined; only the arithmetic of one row runs in Python.
+expected_precision (int or null), checks array<string> such as same_unit, optionally required_metadata array<string> of FIELDS,
+and variables, an array of VARIABLE. evidence: evidence_id, text. Ids and results are joined; only the arithmetic of one row
+runs in Python.
+
+Defined cases: a set of more than MOST_CALCULATIONS, or with a null, blank or repeated id, is invalid as a whole; a calculation
+with more than MOST_VARIABLES variables, a null, blank or repeated name, or an expected_precision outside 0 to 12 is invalid;
+none of them hinders another. Of several texts of one evidence id the least counts.
 """
 
 from __future__ import annotations
@@ -15,21 +20,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact
+from ..session import written
 from .review import roll_up
 
 VARIABLE = "struct<name:string,value:string,scale:string,unit:string,period:string,scope:string,currency:string,evidence_id:string,source_type:string,calculation_id:string,source_format:string,relation:string>"
 FIELDS = ("unit", "period", "scope", "currency")
 USABLE = ("verified", "calculated")
 MOST_LAYERS = 30
+MOST_CALCULATIONS, MOST_VARIABLES, MOST_DIGITS = 30, 40, 12
 
 
 def bind(variables: DataFrame, evidence: DataFrame) -> DataFrame:
     """variables (set_id, calculation_id, v) with source_status: matched or not_found where the text is there, not_checked where it is not, not_applicable for assumptions and results."""
-    texts = evidence.groupBy("evidence_id").agg(F.first("text").alias("_text"))
+    texts = evidence.groupBy("evidence_id").agg(F.min("text").alias("_text"))
+    texts = texts.select("evidence_id", "_text", exact.number_tokens(exact.nfkc(F.col("_text"))).alias("_tokens"))
     wide = variables.join(texts, F.col("v.evidence_id") == F.col("evidence_id"), "left").drop("evidence_id")
     kind = F.lower(F.coalesce("v.source_type", F.lit("evidence")))
     value = F.regexp_replace(F.col("v.value"), ",", "").try_cast("decimal(38,9)")
-    found = exact.source_matches(exact.number_tokens(F.col("_text")), value, F.coalesce("v.source_format", F.lit("number")), F.coalesce("v.relation", F.lit("equal")))
+    found = exact.source_matches(F.col("_tokens"), value, F.coalesce("v.source_format", F.lit("number")), F.coalesce("v.relation", F.lit("equal")))
     status = F.when(kind != "evidence", "not_applicable").when(F.col("_text").isNull(), "not_checked").when(F.coalesce(found, F.lit(False)), "matched").otherwise("not_found")
     unlinked = (kind == "evidence") & (F.coalesce("v.evidence_id", F.lit("")) == "")
     unknown = (F.coalesce("v.evidence_id", F.lit("")) != "") & F.col("_text").isNull()
@@ -90,22 +98,53 @@ def _round(calculations: DataFrame, bound: DataFrame, results: DataFrame | None)
     mixed = F.lit(False)
     for f in FIELDS:
         mixed = mixed | (F.coalesce(F.array_contains("checks", f"same_{f}"), F.lit(False)) & ((F.col(f"_n_{f}") > 1) | F.col(f"_no_{f}")))
+        mixed = mixed | (F.coalesce(F.array_contains("required_metadata", f), F.lit(False)) & F.col(f"_no_{f}"))
     status = F.when(arithmetic == "invalid", arithmetic).when(F.col("_unlinked") | F.col("_unknown") | F.col("_unbound"), "unlinked").when(mixed, "context_mismatch").otherwise(arithmetic)
     return wide.select("set_id", "calculation_id", F.col("_r.value").alias("calculated"), F.col("_r.difference").alias("difference"), arithmetic.alias("arithmetic_status"), status.alias("status"), F.coalesce("assumption_based", F.lit(False)).alias("assumption_based"), F.col("_r.error").alias("error"))
 
 
-def verify(calculations: DataFrame, evidence: DataFrame, depth: int = 1) -> DataFrame:
+def checked(calculations: DataFrame) -> DataFrame:
+    """calculations with `problem`: why the set or the calculation is invalid, else null."""
+    if "required_metadata" not in calculations.columns:
+        calculations = calculations.withColumn("required_metadata", F.array().cast("array<string>"))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    sets = calculations.groupBy(F.col("set_id").alias("_set")).agg(F.count("*").alias("_n"), F.countDistinct("calculation_id").alias("_ids"), F.bool_or(blank(F.col("calculation_id"))).alias("_blank"))
+    names = F.transform("variables", lambda v: v["name"])
+    problem = (
+        F.when(F.col("_n") > MOST_CALCULATIONS, f"more than {MOST_CALCULATIONS} calculations").when(F.col("_blank") | (F.col("_ids") < F.col("_n")), "a calculation_id is blank or repeated")
+        .when(F.size("variables") > MOST_VARIABLES, f"more than {MOST_VARIABLES} variables").when(F.exists(names, blank) | (F.size(F.array_distinct(names)) < F.size(names)), "a variable name is blank or repeated")
+        .when(~F.col("expected_precision").between(0, MOST_DIGITS), f"expected_precision is not between 0 and {MOST_DIGITS}")
+    )
+    return calculations.join(sets, F.col("set_id").eqNullSafe(F.col("_set"))).withColumn("problem", problem).drop("_set", "_n", "_ids", "_blank")
+
+
+def verify(calculations: DataFrame, evidence: DataFrame, depth: int = MOST_LAYERS) -> DataFrame:
     """(set_id, calculation_id, calculated, difference, arithmetic_status, status, assumption_based, error).
 
-    `depth`: how long chains of calculations that use earlier results may be, at most MOST_LAYERS. Each round is one step over
-    all sets and uses the results of the round before, so after `depth` rounds every chain of that length is settled; calculations
-    on a cycle, or deeper, never get a usable value and stay invalid.
+    Sources are bound once. Each round evaluates only those calculations of all sets whose earlier results are all there, and the
+    rounds end as soon as none is ready, after `depth` of them at most; calculations on or behind a cycle stay invalid.
     """
-    bound = bind(calculations.select("set_id", "calculation_id", F.explode("variables").alias("v")), evidence)
-    done = None
+    every = written(checked(calculations), "calculations")
+    good = every.where("problem is null")
+    bound = written(bind(good.select("set_id", "calculation_id", F.explode("variables").alias("v")), evidence), "bound")
+    key = ["set_id", "calculation_id"]
+    ids = good.select("set_id", F.col("calculation_id").alias("_dep"))
+    uses = bound.where("kind = 'calculation'").select(*key, F.col("v.calculation_id").alias("_dep")).join(ids, ["set_id", "_dep"], "left_semi").distinct()
+    uses = written(uses, "uses")
+    todo, done, results = good.select(*key), None, None
     for _ in range(max(1, min(depth, MOST_LAYERS))):
-        done = _round(calculations, bound, done)
-    return done
+        waiting = uses if done is None else uses.join(done.withColumnRenamed("calculation_id", "_dep"), ["set_id", "_dep"], "left_anti")
+        ready = written(todo.join(waiting.select(*key).distinct(), key, "left_anti"), "ready")
+        if ready.isEmpty():
+            break
+        out = written(_round(good.join(ready, key, "left_semi"), bound.join(ready, key, "left_semi"), results), "results")
+        results = out if results is None else results.unionByName(out)
+        done = ready if done is None else done.unionByName(ready)
+        todo = todo.join(ready, key, "left_anti")
+    stuck = _round(good.join(todo, key, "left_semi"), bound.join(todo, key, "left_semi"), results)
+    none = F.lit(None).cast("string")
+    bad = every.where("problem is not null").select(*key, none.alias("calculated"), none.alias("difference"), F.lit("invalid").alias("arithmetic_status"), F.lit("invalid").alias("status"), F.lit(False).alias("assumption_based"), F.col("problem").alias("error"))
+    return (stuck if results is None else results.unionByName(stuck)).unionByName(bad)
 
 
 def set_status(results: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def ttl_cache_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", lifecycle.freshness(now, F.col("ts"), expires, 1_000_000).alias("cache_status"))
 
 
-@register("""SELECT lower(event_type) || '|' || user_id AS source_key, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS times_seen, min_by(event_id, ts) AS first_event, max_by(value, ts) AS last_value
+@register("""SELECT lower(event_type) || '|' || user_id AS source_key, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS times_seen, min({ts: ts, e: event_id}).e AS first_event, max({ts: ts, v: value}).v AS last_value
     FROM events GROUP BY lower(event_type) || '|' || user_id""")
 def source_upsert_first_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(lifecycle.source_key(F.col("event_type"), F.lit(""), F.col("user_id")).alias("source_key"), "ts", F.col("event_id").alias("first_event"), F.col("value").alias("last_value"))
@@ -94,12 +94,12 @@ def consistency_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.consistency(o, {"n_lines": lines, "n_returned": lines.where("l_returnflag = 'R'")}, "o_orderkey", "n")
 
 
-@register("""WITH i AS (SELECT conv_id * 1000 + turn AS row_no, role, lower(substring(text, 1, 6)) AS head FROM conversations)
-    SELECT row_no, CASE WHEN min(row_no) OVER w <> row_no THEN min(row_no) OVER w ELSE -1 END AS deduplicated_from_row FROM i WINDOW w AS (PARTITION BY coalesce(role, ''), coalesce(head, ''))""")
+@register("""WITH i AS (SELECT conv_id * 1000 + turn AS row_no, role, lower(coalesce(text, '')) AS body FROM conversations)
+    SELECT row_no, CASE WHEN min(row_no) OVER w <> row_no THEN min(row_no) OVER w ELSE -1 END AS deduplicated_from_row FROM i WINDOW w AS (PARTITION BY coalesce(role, ''), body)""")
 def batch_dedup_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of one role and the same first letters share their work."""
-    items = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_no"), "role", F.lower(F.substring("text", 1, 6)).alias("head"))
-    return lifecycle.batch_plan(items, ["role", "head"], "row_no").select("row_no", F.coalesce("deduplicated_from_row", F.lit(-1)).alias("deduplicated_from_row"))
+    """Items of one role and one text, whatever its case, share their work."""
+    items = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_no"), "role", F.sha2(F.lower(F.coalesce("text", F.lit(""))), 256).alias("body"))
+    return lifecycle.batch_plan(items, ["role", "body"], "row_no").select("row_no", F.coalesce("deduplicated_from_row", F.lit(-1)).alias("deduplicated_from_row"))
 
 
 @register("""WITH p AS (SELECT event_type AS status, min(event_id) OVER (PARTITION BY user_id, event_type) AS lead, event_id FROM events)
@@ -129,8 +129,8 @@ def json_payload_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of the payload, overridden by what a linked row gives, unless that is blank."""
     e = table(spark, sf_dir, "events")
     cached = e.select("event_id", "user_id", F.get_json_object("props", "$.k").alias("k"), "event_type")
-    linked = e.where("event_type <> 'view'").groupBy("user_id").agg(F.max("event_type").alias("event_type"), F.lit("").alias("k"))
-    return lifecycle.override(cached, linked, "user_id", ["k", "event_type"])
+    linked = e.where("event_type <> 'view'").select("user_id", "event_type", F.lit("").alias("k"))
+    return lifecycle.override(cached, linked, "user_id", ["k", "event_type"], ["event_type"])
 
 
 @register("""WITH g AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)
@@ -173,7 +173,7 @@ def profile_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""WITH a AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn AS page_no, 'e' || turn AS evidence_id, turn AS place, role AS text FROM conversations WHERE role = 'user'),
     b AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn AS page_no, 'x' || turn AS evidence_id, turn AS place, text FROM conversations WHERE length(text) > 200)
-    SELECT coalesce(a.document_id, b.document_id) AS document_id, coalesce(a.page_no, b.page_no) AS page_no, coalesce(a.evidence_id, b.evidence_id) AS evidence_id, coalesce(a.place, b.place + 1000000) AS place, coalesce(b.text, a.text) AS text
+    SELECT coalesce(a.document_id, b.document_id) AS document_id, coalesce(a.page_no, b.page_no) AS page_no, coalesce(a.evidence_id, b.evidence_id) AS evidence_id, coalesce(a.place, b.place + (SELECT max(place) + 1 FROM a)) AS place, coalesce(b.text, a.text) AS text
     FROM a FULL JOIN b ON a.document_id = b.document_id AND a.page_no = b.page_no""")
 def packet_merge_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")

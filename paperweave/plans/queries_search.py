@@ -216,12 +216,12 @@ def page_share_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.page_budget(turns(spark, sf_dir), 1500, 4, ["document_id"], ["page_no"])
 
 
-@register(f"""WITH {TURNS}, turned AS (SELECT *, length(text) AS n, left(document_id, 1) AS packet FROM pages),
+@register(f"""WITH {TURNS}, turned AS (SELECT *, length(text) AS n, CAST(document_id AS BIGINT) // 20 AS packet FROM pages),
     t AS (SELECT packet, document_id, page_no, row_number() OVER (PARTITION BY packet, document_id ORDER BY n, page_no) AS turn FROM turned)
     SELECT packet, document_id, page_no, CAST(turn AS BIGINT) AS turn, CAST(row_number() OVER (PARTITION BY packet ORDER BY turn, document_id) AS BIGINT) AS place FROM t""")
 def round_robin_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of the documents of a packet one by one in turn, the shortest first."""
-    items = turns(spark, sf_dir).select(F.left("document_id", F.lit(1)).alias("packet"), "document_id", "page_no", F.length("text").alias("n"))
+    """Turns of the 20 documents of a packet one by one in turn, the shortest first; packets grow in number with the data, not in size."""
+    items = turns(spark, sf_dir).select(F.floor(F.col("document_id").cast("long") / 20).alias("packet"), "document_id", "page_no", F.length("text").alias("n"))
     out = evidence.interleave(items, ["packet"], ["n", "page_no"])
     return out.select("packet", "document_id", "page_no", F.col("turn").cast("long").alias("turn"), F.col("place").cast("long").alias("place"))
 

@@ -87,6 +87,7 @@ def latest_group(rows: DataFrame, group: list[str], date: str) -> DataFrame:
     return rows.withColumn("_last", F.max(date).over(Window.partitionBy(*group))).where(F.col(date) == F.col("_last")).drop("_last")
 
 
-def limited(rows: DataFrame, most: int) -> tuple[DataFrame, Column]:
-    """The first rows, and an expression over their number that says whether more there were."""
-    return rows.limit(most), F.count("*") >= most
+def limited(rows: DataFrame, most: int, order: list[Column]) -> tuple[DataFrame, dict]:
+    """The first rows in a total order, with returned_rows and whether there were more; one row more than asked is looked at for that, never all."""
+    some = min(most + 1, rows.limit(most + 1).count())
+    return rows.orderBy(*order).limit(most), {"returned_rows": min(some, most), "truncated": some > most}

@@ -16,9 +16,9 @@ def table_csv(cells: DataFrame, path: str) -> None:
 
 
 def replace_pages(old: DataFrame, new: DataFrame) -> DataFrame:
-    """All pages of the documents in new are replaced by those given; pages below 1 are no pages, of equal numbers the last given (by `order`, if there is one) counts."""
-    order = F.col("order") if "order" in new.columns else F.lit(0)
-    last = new.where("page_no > 0").withColumn("_n", F.row_number().over(Window.partitionBy("document_id", "page_no").orderBy(F.desc(order)))).where("_n = 1")
+    """All pages of the documents in new are replaced by those given; pages below 1 are no pages, of equal numbers the last given (by `order`, if there is one, then by text) counts."""
+    order = [F.desc("order")] if "order" in new.columns else []
+    last = new.where("page_no > 0").withColumn("_n", F.row_number().over(Window.partitionBy("document_id", "page_no").orderBy(*order, F.desc("text")))).where("_n = 1")
     return old.join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(last.select(old.columns))
 
 

@@ -133,7 +133,7 @@ def test_number_tokens(spark):
     assert len(plainly) == len(tokens(spark, "1,234.5 and .5 or 12,34 x 7"))
 
 
-def verify(spark, sets, texts, depth=1):
+def verify(spark, sets, texts, depth=30):
     rows = []
     for s, (name, expression, expected, tolerance, checks, variables) in sets:
         full = [dict.fromkeys(("name", "value", "scale", "unit", "period", "scope", "currency", "evidence_id", "source_type", "calculation_id", "source_format", "relation")) | v for v in variables]
