@@ -6,6 +6,7 @@ a stated list of queries against each page where it is read. Both order their re
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
@@ -145,3 +146,102 @@ def excerpt(text: Column, terms: list[str], longest: int) -> Column:
     start = F.greatest(F.lit(0), end - longest)
     cut = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(body, start + 1, F.lit(longest)), F.when(end < F.length(body), "...").otherwise(""))
     return F.when(F.length(body) <= longest, body).when(hit == 0, F.substring(body, 1, longest)).otherwise(cut)
+
+
+# --- the query language ------------------------------------------------------------------------------------------------
+_PART = re.compile(r'"([^"]*)"|(\S+)')
+
+
+def parse(query: str) -> list[dict] | None:
+    """Groups joined by OR, of which a page has to meet one: words, beginnings of words (word*), phrases in quotes, and what follows NOT must be missing. None where the text is no query of this language; it is then searched as a substring."""
+    if query.count('"') % 2 or not query.strip():
+        return None
+    groups: list[dict] = [{"all": [], "none": []}]
+    side, open_ = "all", True
+    for quoted, word in _PART.findall(query):
+        if word == "OR":
+            if open_:
+                return None
+            groups.append({"all": [], "none": []})
+            open_ = True
+        elif word == "NOT":
+            if open_ or side == "none":
+                return None
+            side = "none"
+        elif word == "AND":
+            if open_:
+                return None
+        else:
+            if word and not re.fullmatch(r"\w+\*?", word):
+                return None
+            groups[-1][side].append(("phrase", quoted) if quoted else ("prefix", word[:-1]) if word.endswith("*") else ("word", word))
+            side, open_ = "all", False
+    return None if open_ or side == "none" else groups
+
+
+def _meets(kind: str, term: str) -> Column:
+    folded = tokens(F.lit(term))
+    if kind == "prefix":
+        return F.exists("_has", lambda t: t.startswith(F.coalesce(F.get(folded, F.lit(0)), F.lit(" "))))
+    body = F.concat(F.lit(" "), F.array_join("_has", " "), F.lit(" "))
+    return body.contains(F.concat(F.lit(" "), F.array_join(folded, " "), F.lit(" ")))
+
+
+def grammar_hits(pages: DataFrame, queries: list[tuple[str, str]]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(query_id, document_id, page_no) of pages that meet a stated query, tested where the page is read; and the queries that are none of the language."""
+    plain, found = [], []
+    for name, query in queries:
+        groups = parse(query)
+        if groups is None:
+            plain.append((name, query))
+            continue
+        some = F.lit(False)
+        for g in groups:
+            one = F.lit(True)
+            for kind, term in g["all"]:
+                one = one & _meets(kind, term)
+            for kind, term in g["none"]:
+                one = one & ~_meets(kind, term)
+            some = some | one
+        found.append(F.when(some, F.lit(name)))
+    body = F.concat_ws(" ", F.col("document_id"), F.col("text"))
+    rows = pages.select("document_id", "page_no", tokens(body).alias("_has"))
+    names = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    return rows.select(F.explode(names).alias("query_id"), "document_id", "page_no"), plain
+
+
+# --- postings ----------------------------------------------------------------------------------------------------------
+def trigrams(c: Column) -> Column:
+    """Every three letters in a row, each once; one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text_of(c)), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+
+
+def trigram_postings(pages: DataFrame) -> DataFrame:
+    """(trigram, document_id, page_no): the index to keep, by trigram, for substring searches over many pages."""
+    return pages.select(F.explode(trigrams(F.col("text"))).alias("trigram"), "document_id", "page_no")
+
+
+def trigram_hits(postings: DataFrame, pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, document_id, page_no) of pages that hold the term: candidates by the term's rarest trigram alone, then the text itself. terms: query_id, term of three letters or more."""
+    of = terms.select("query_id", F.lower("term").alias("term"), F.explode(trigrams(F.col("term"))).alias("trigram"))
+    counts = postings.join(of.select("trigram").distinct(), "trigram", "left_semi").groupBy("trigram").agg(F.count("*").alias("df"))
+    rare = of.join(counts, "trigram", "left").groupBy("query_id", "term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "trigram")).alias("r"))
+    met = postings.join(rare.select("query_id", "term", F.col("r.trigram").alias("trigram")), "trigram").select("query_id", "term", "document_id", "page_no")
+    return met.join(pages.select("document_id", "page_no", "text"), ["document_id", "page_no"]).where(F.lower(text_of(F.col("text"))).contains(F.col("term"))).select("query_id", "document_id", "page_no")
+
+
+K1, B = 1.2, 0.75
+
+
+def bm25(pages: DataFrame, queries: DataFrame, places: int = 6) -> DataFrame:
+    """(query_id, document_id, page_no, score): pages with any word of the query by BM25, rounded. Counts are over all pages."""
+    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
+    listed = pages.select("document_id", "page_no", tokens(F.col("text")).alias("_has")).withColumn("n", F.size("_has"))
+    n_pages, total = listed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    each = listed.select("document_id", "page_no", "n", F.explode("_has").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+    tf = each.groupBy("token", "document_id", "page_no", "n").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.lit(1e-6), F.ln((n_pages - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") * n_pages / max(1, total)))
+    scored = tf.join(df.select("token", idf.alias("idf")), "token").join(wanted, "token")
+    return scored.groupBy("query_id", "document_id", "page_no").agg(F.round(F.sum(weight), places).alias("score"))

@@ -153,12 +153,41 @@ def calc_expression_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("o_orderkey", F.col("r.value").cast("decimal(28,4)").cast("string").alias("value"))
 
 
-@register("""SELECT l_orderkey, count(*) AS n_variables, count(DISTINCT l_returnflag) AS n_units, count(DISTINCT l_linestatus) AS n_periods,
-    CASE WHEN count(DISTINCT l_returnflag) > 1 OR count(DISTINCT l_linestatus) > 1 THEN 'context_mismatch' ELSE 'calculated' END AS status FROM lineitem GROUP BY l_orderkey""")
+def _line_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One set for each order, with one calculation that adds up the quantities of its lines; flags are units, states are periods."""
+    none = F.lit(None).cast("string")
+    q = F.col("l_quantity").cast("decimal(18,2)").cast("string")
+    v = F.struct(F.concat(F.lit("x"), F.col("l_linenumber").cast("string")).alias("name"), q.alias("value"), F.lit("1").alias("scale"), F.col("l_returnflag").alias("unit"), F.col("l_linestatus").alias("period"), none.alias("scope"), none.alias("currency"), none.alias("evidence_id"), F.lit("assumption").alias("source_type"), none.alias("calculation_id"), F.lit("number").alias("source_format"), F.lit("equal").alias("relation"))
+    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("set_id")).agg(F.sort_array(F.collect_list(v)).alias("variables"))
+    extra = [none.alias("expected"), none.alias("absolute_tolerance"), none.alias("relative_tolerance"), F.lit(None).cast("int").alias("expected_precision")]
+    return sets.select("set_id", F.lit("sum").alias("calculation_id"), F.array_join(F.transform("variables", lambda x: x["name"]), " + ").alias("expression"), *extra, "variables")
+
+
+def _no_evidence(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "evidence_id string, text string")
+
+
+@register("""WITH d AS (SELECT l_orderkey, count(*) - count(DISTINCT l_linenumber) AS again, count(DISTINCT l_returnflag) AS u, count(DISTINCT l_linestatus) AS p, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS q FROM lineitem GROUP BY l_orderkey)
+    SELECT l_orderkey, CASE WHEN again > 0 THEN NULL ELSE CAST(q AS VARCHAR) END AS total, CASE WHEN again > 0 THEN 'invalid' WHEN u > 1 OR p > 1 THEN 'context_mismatch' ELSE 'calculated' END AS status FROM d""")
 def calc_context_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums over lines of different units or periods do not hold."""
-    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_variables"), F.countDistinct("l_returnflag").alias("n_units"), F.countDistinct("l_linestatus").alias("n_periods"))
-    return g.withColumn("status", F.when((F.col("n_units") > 1) | (F.col("n_periods") > 1), "context_mismatch").otherwise("calculated"))
+    """Sums over lines of different units or periods do not hold; lines of one number are a repeated name."""
+    from . import calculations
+
+    sets = _line_sets(spark, sf_dir).withColumn("checks", F.array(F.lit("same_unit"), F.lit("same_period")))
+    done = calculations.verify(sets, _no_evidence(spark))
+    return done.select(F.col("set_id").alias("l_orderkey"), F.col("calculated").cast("decimal(18,2)").cast("string").alias("total"), "status")
+
+
+@register("""WITH d AS (SELECT l_orderkey, count(*) - count(DISTINCT l_linenumber) AS again FROM lineitem GROUP BY l_orderkey), n AS (SELECT l_orderkey AS set_id, l_orderkey % 4 AS k, again FROM d)
+    SELECT set_id, CAST(CASE k WHEN 1 THEN 31 ELSE 2 END AS BIGINT) AS n, 'invalid' AS status FROM n WHERE k < 3 UNION ALL SELECT set_id, 2, CASE WHEN again > 0 THEN 'invalid' ELSE 'context_mismatch' END FROM n WHERE k = 3""")
+def calc_set_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets with a repeated id, with too many calculations, with a precision out of bounds, and good ones that lack required data: none hinders another."""
+    from . import calculations
+
+    k, name = F.col("set_id") % 4, F.col("number").cast("string")
+    sets = _line_sets(spark, sf_dir).withColumns({"checks": F.array().cast("array<string>"), "required_metadata": F.array(F.lit("scope")), "number": F.explode(F.sequence(F.lit(1), F.when(k == 1, 31).otherwise(2)))})
+    sets = sets.withColumns({"calculation_id": F.when(k == 0, "same").otherwise(name), "expected_precision": F.when(k == 2, 13)}).drop("number")
+    return calculations.set_status(calculations.verify(sets, _no_evidence(spark))).select("set_id", "n", "status")
 
 
 @register("""SELECT CAST(l_partkey AS VARCHAR) AS claim_id, lower(l_returnflag) AS fact_key, lower(l_linestatus) AS period, count(DISTINCT l_quantity) AS n_values, count(DISTINCT l_orderkey) AS n_evidence, min(l_quantity) AS least, max(l_quantity) AS most
@@ -189,22 +218,22 @@ def source_binding_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.binding_status(e, ["user_id", "day"])
 
 
-@register("SELECT CAST(conv_id AS VARCHAR) AS plan_id, CAST(turn AS VARCHAR) AS claim_id, CAST(turn AS BIGINT) AS layer FROM conversations")
+@register("SELECT conv_id || '/' || turn // 30 AS plan_id, CAST(turn AS VARCHAR) AS claim_id, CAST(turn % 30 AS BIGINT) AS layer FROM conversations")
 def topological_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn depends on the one before and, from the third on, on the first."""
-    c = table(spark, sf_dir, "conversations")
-    deps = F.filter(F.array(F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string")), F.when(F.col("turn") > 2, F.lit("0"))), lambda x: x.isNotNull())
-    claims = c.select(F.col("conv_id").cast("string").alias("plan_id"), F.col("turn").cast("string").alias("claim_id"), deps.alias("depends_on"))
+    """Plans of 30 turns at most, the bound of a plan; each turn depends on the one before and, from the third on, on the first of its plan."""
+    c = table(spark, sf_dir, "conversations").withColumns({"part": F.floor(F.col("turn") / 30), "at": F.col("turn") % 30})
+    deps = F.filter(F.array(F.when(F.col("at") > 0, (F.col("turn") - 1).cast("string")), F.when(F.col("at") > 2, (F.col("turn") - F.col("at")).cast("string"))), lambda x: x.isNotNull())
+    claims = c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("part").cast("string")).alias("plan_id"), F.col("turn").cast("string").alias("claim_id"), deps.alias("depends_on"))
     return review.layers(claims).withColumn("layer", F.col("layer").cast("long"))
 
 
-@register("""WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS need, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
-    w AS (SELECT conv_id, turn, i, least(500, 2000 // n, need) AS granted, 2000 - least(500, 2000 // n, need) AS rest FROM c WHERE i = 1
-        UNION ALL SELECT c.conv_id, c.turn, c.i, least(500, w.rest // (c.n - c.i + 1), c.need), w.rest - least(500, w.rest // (c.n - c.i + 1), c.need) FROM w JOIN c ON c.conv_id = w.conv_id AND c.i = w.i + 1)
+@register("""WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS need, turn // 30 AS part, row_number() OVER (PARTITION BY conv_id, turn // 30 ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id, turn // 30) AS n FROM conversations),
+    w AS (SELECT conv_id, part, turn, i, least(500, 2000 // n, need) AS granted, 2000 - least(500, 2000 // n, need) AS rest FROM c WHERE i = 1
+        UNION ALL SELECT c.conv_id, c.part, c.turn, c.i, least(500, w.rest // (c.n - c.i + 1), c.need), w.rest - least(500, w.rest // (c.n - c.i + 1), c.need) FROM w JOIN c ON c.conv_id = w.conv_id AND c.part = w.part AND c.i = w.i + 1)
     SELECT conv_id, turn, CAST(granted AS BIGINT) AS granted FROM w""")
 def fair_share_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("need"))
-    return review.fair_share(claims, 2000, 500, ["conv_id"], ["turn"], "need").select("conv_id", "turn", "granted")
+    claims = table(spark, sf_dir, "conversations").select("conv_id", F.floor(F.col("turn") / 30).alias("part"), "turn", F.length("text").alias("need"))
+    return review.fair_share(claims, 2000, 500, ["conv_id", "part"], ["turn"], "need").select("conv_id", "turn", "granted")
 
 
 @register("""WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role = 'assistant'),

@@ -184,12 +184,13 @@ def packet_merge_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT n_name AS market, c_custkey, c_name, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY c_acctbal DESC, c_custkey) <= 10")
 def filtered_top_by_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conjunctive filter pushed to the scan, the ten first of each market."""
-    from ..operators.search import top
+    from ..operators.filings import search_sources
 
-    c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_nationkey", "c_name", "c_acctbal")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name", "c_acctbal", F.col("c_mktsegment").alias("segment"))
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("market"))
-    wide = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("market", "c_custkey", "c_name", "c_acctbal")
-    return top(wide, 10, [F.desc("c_acctbal"), F.col("c_custkey")], ["market"]).drop("rank")
+    wide = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lit("a").alias("market"), F.col("market").alias("nation"), "c_custkey", "c_name", "c_acctbal", "segment")
+    found = search_sources(wide, "A", 10, [F.desc("c_acctbal"), F.col("c_custkey")], within=["nation"], segment="BUILDING")
+    return found.select(F.col("nation").alias("market"), "c_custkey", "c_name", "c_acctbal")
 
 
 @register("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")

@@ -91,3 +91,15 @@ def limited(rows: DataFrame, most: int, order: list[Column]) -> tuple[DataFrame,
     """The first rows in a total order, with returned_rows and whether there were more; one row more than asked is looked at for that, never all."""
     some = min(most + 1, rows.limit(most + 1).count())
     return rows.orderBy(*order).limit(most), {"returned_rows": min(some, most), "truncated": some > most}
+
+
+def statements(parts: dict[str, DataFrame], asked: str) -> DataFrame:
+    """The statement asked, or all of them, each row with the name of its statement; ValueError for an unknown one."""
+    if asked != "all" and asked not in parts:
+        raise ValueError(f"no statement {asked}")
+    out = None
+    for name, rows in parts.items():
+        if asked in (name, "all"):
+            named = rows.select(F.lit(name).alias("statement"), "*")
+            out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    return out
