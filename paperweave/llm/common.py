@@ -96,7 +96,6 @@ def one_of_each(df: DataFrame, repeated: DataFrame, key: Column, name: str = "_k
 def join_heavy(many: DataFrame, one: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
     """many joined with one, which has each key once and in column `n` how many rows of many have it (dropped here). Heavy keys, at most MOST_HEAVY, are broadcast; so no key with more than that share of the rows is ever dealt to one task."""
     least = max(2, -(-total // MOST_HEAVY))
-    heavy, light = one.where(F.col(n) >= least).drop(n), one.where(F.col(n) < least).drop(n)
-    with_heavy = many.join(F.broadcast(heavy), key)
-    others = many.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return with_heavy.unionByName(others.join(light, key, how))
+    heavy, light = one.where(F.col(n) >= least).drop(n).withColumn("_heavy", F.lit(True)), one.where(F.col(n) < least).drop(n)
+    met = many.join(F.broadcast(heavy), key, "left")  # both branches use one broadcast
+    return met.where("_heavy").drop("_heavy").unionByName(met.where("_heavy is null").select(many.columns).join(light, key, how))

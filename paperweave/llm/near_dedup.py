@@ -228,14 +228,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = materialize(texts.mapInArrow(_describe, "doc_id long, n_shingles long, set_key string, bands array<long>"), "sets")
     # All rows of a class have the same bands, so any of them serves.
-    classes = materialize(described.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n")), "classes")
+    classes = materialize(described.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"), F.count("*").alias("n")), "classes")
 
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    groups = materialize(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1"), "bands")
+    banded = classes.select("rep", "size", F.explode("bands").alias("band"))
+    groups = banded.groupBy("band").agg(F.min(F.struct("rep", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    groups = materialize(groups.select("band", F.col("lead.rep").alias("lead"), F.col("lead.size").alias("lead_size"), "n"), "bands")
     # Only rows whose band may have others are shuffled once more.
     shared = may_survive(banded, survivor_bits(groups, "band", SET_BITS), "band", "_hit", SET_BITS).where("_hit").drop("_hit")
     members = materialize(join_heavy(shared, groups, "band", "n", groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "members")
-    star = materialize(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "star")
+    # Sets of too different sizes are no link, whatever is in them.
+    alike = 100 * F.least("size", "lead_size") >= PERCENT * F.greatest("size", "lead_size")
+    star = materialize(members.where((F.col("rep") != F.col("lead")) & alike).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "star")
 
     reps = materialize(members.select("rep").distinct(), "reps")
     bits = survivor_bits(reps, "rep", SET_BITS)

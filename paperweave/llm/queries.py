@@ -41,7 +41,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.write_shards(table(spark, sf_dir, "documents"), BYTE_BPE)[1]
+    return token_output.write_shards(table(spark, sf_dir, "documents"), BYTE_BPE, stable=True)[1]
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

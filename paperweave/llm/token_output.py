@@ -1,7 +1,9 @@
 """Token shards in training order: a keyed Feistel permutation with cycle-walking gives every sequence a global slot.
 
 1. Documents are tokenised and packed in their partitions, and the sequences are written, compressed, to the shared folder: a lost
-   executor never makes a partition tokenise anew, in another order of rows, what is numbered already.
+   executor never makes a partition tokenise anew, in another order of rows, what is numbered already. Where the caller states
+   that docs are `stable`, a plain scan of written files, whose partitions hold the same rows in the same order each time, they
+   are kept by the executors instead, which saves a copy on disk; what a lost executor held is made again, and is the same.
 2. Partition sizes give every sequence a dense index; the permutation maps 0..N-1 onto itself, so slots are dense as well.
 3. Each partition of the second stage owns a range of slots, sorts it and writes whole shards of a fixed stride, each under a
    temporary name first. A shard that a lost executor leaves behind is written anew with the same bytes, so reads resume at
@@ -25,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +74,7 @@ def narrow(ids: bytes) -> bytes:
 def _records(path: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, local = TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for pieces in pack_rows(((d, narrow(b)) for d, b in _encoded(it, path)), width=WIDTH):
             pieces.sort(key=lambda x: (x[5], x[6]))
             rows: list[tuple[bytes, int, int]] = []
@@ -123,7 +125,7 @@ def _writer(target: str, shard_sequences: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, target: str | None = None, key: int = 20240607, shard_sequences: int = SHARD_SEQUENCES, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
+def write_shards(docs: DataFrame, path: str, target: str | None = None, key: int = 20240607, shard_sequences: int = SHARD_SEQUENCES, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> tuple[str, DataFrame]:
     """Writes the shards and returns their folder and the manifest, one row for each sequence."""
     spark = docs.sparkSession
     target = target or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
@@ -131,7 +133,7 @@ def write_shards(docs: DataFrame, path: str, target: str | None = None, key: int
     store, root = fs.FileSystem.from_uri(target)
     store.create_dir(root)
     packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_records(path), "part int, local long, n_tokens int, n_pieces int, tokens binary")
-    rows = materialize(packed, "sequences")
+    rows = packed.persist(StorageLevel.MEMORY_AND_DISK) if stable else materialize(packed, "sequences")
     # One number for each partition, however large the input.
     sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
     n, base = 0, {}
@@ -151,7 +153,10 @@ def write_shards(docs: DataFrame, path: str, target: str | None = None, key: int
     owner = (F.floor(F.col("slot") / shard_sequences) * tasks / shards).cast("int")
     ranged = placed.repartitionById(tasks, owner).sortWithinPartitions("slot")
     manifest = materialize(ranged.mapInArrow(_writer(target, shard_sequences), MANIFEST), "manifest")
-    discard(rows)
+    if stable:
+        rows.unpersist()
+    else:
+        discard(rows)
     return target, manifest
 
 
