@@ -18,7 +18,7 @@ from functools import lru_cache
 import tiktoken
 from tokenizers import Tokenizer
 
-from .bpe import LONG_UNIT, UNITS, Recent, byte_letters
+from .bpe import LONG_UNIT, Recent, byte_letters
 
 #: Fixed value: the piece pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,6 +27,9 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LIBRARY = re.compile("[^\x00-ɏ]|<\\|")
 
 
+UNITS = 125_000
+
+
 class ByteTokens:
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -34,7 +37,7 @@ class ByteTokens:
         ranks = {bytes(byte_of[c] for c in s): i for s, i in spec["model"]["vocab"].items()}
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.library = Tokenizer.from_file(path)
-        self.units = Recent(UNITS)
+        self.units = Recent(UNITS)  # smaller than that of the other encoder: a worker keeps it while it runs other stages
 
     def _ids(self, text: str) -> bytes:
         if _LIBRARY.search(text):
