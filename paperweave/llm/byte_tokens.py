@@ -39,6 +39,10 @@ class ByteTokens:
         self.library = Tokenizer.from_file(path)
         self.units = Recent(UNITS)  # smaller than that of the other encoder: a worker keeps it while it runs other stages
 
+    def forget(self) -> None:
+        """Empty the cache."""
+        self.units = Recent(UNITS)
+
     def _ids(self, text: str) -> bytes:
         if _LIBRARY.search(text):
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()

@@ -116,6 +116,7 @@ def _encoded(it: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple]:
     for batch in batches(it, 1000):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             yield doc, encode(text) + end
+    byte_tokens(path).forget()  # the worker lives on and runs other stages
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
