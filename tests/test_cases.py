@@ -282,3 +282,38 @@ def test_excerpts_by_row_and_by_stated_terms_agree(spark, terms):
     df = spark.createDataFrame([(body, terms), ("short", terms), (None, terms)], "text string, queries array<string>")
     both = df.select(evidence.around_matches(F.col("text"), F.col("queries"), F.lit(60)).alias("a"), search.excerpt(F.col("text"), terms, 60).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in both)
+
+
+def test_of_several_linked_rows_the_last_counts(spark):
+    cached = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    linked = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (2, "", 1)], "id int, v string, at int")
+    assert sorted(map(tuple, lifecycle.override(cached, linked, "id", ["v"], ["at"]).collect())) == [(1, "y"), (2, "b")]
+
+
+def test_limited_says_whether_there_was_more(spark):
+    for most, more in ((2, True), (3, False), (4, False)):
+        rows, info = readers.limited(spark.range(3), most, [F.col("id")])
+        assert info == {"returned_rows": min(most, 3), "truncated": more} and rows.count() == min(most, 3)
+
+
+def test_query_language():
+    assert search.parse('a b* "c d" NOT e OR f') == [{"all": [("word", "a"), ("prefix", "b"), ("phrase", "c d")], "none": [("word", "e")]}, {"all": [("word", "f")], "none": []}]
+    assert all(search.parse(x) is None for x in ("", "p&l", "revenue?", '"open', "OR a", "a NOT", "a OR"))
+
+
+def test_bad_calculation_sets_hinder_no_other(spark):
+    v = lambda name: {"name": name, "value": "1", "source_type": "assumption"}
+    sets = [("a", ("c", "x", None, None, [], [v("x"), v("x")])), ("b", ("c", "x", None, None, [], [v("x")])), ("b", ("c", "x", None, None, [], [v("x")])), ("c", (None, "x", None, None, [], [v("x")])), ("d", ("c", "x", None, None, [], [v("x")])), ("e", ("c", "x", None, None, [], [v(None)]))]
+    found = {k: r["status"] for k, r in verify(spark, sets, {"e": ""}).items()}
+    assert found["d", "c"] == "calculated" and {s for k, s in found.items() if k[0] != "d"} == {"invalid"}
+
+
+def test_planned_packet(spark):
+    from paperweave.operators import packets
+
+    filler = "words of no use in any question, " * 10
+    pages = spark.createDataFrame([("d", 1, "cover"), ("d", 2, filler), ("d", 3, "revenue recognition is set out here"), ("d", 4, filler), ("d", 6, "user incentives, deducted from revenues")], PAGES)
+    asked = spark.createDataFrame([("q", "coupons", "accounting_policy")], "question_id string, question string, strategy string")
+    found = {r["page_no"]: r["matched_queries"] for r in packets.planned(asked, pages).collect()}
+    assert set(found) == {2, 3, 4, 6} and "deducted from revenues" in found[6] and "revenue recognition" in found[3]
+    assert packets.planned(asked, pages, most_pages=0).count() == 0
