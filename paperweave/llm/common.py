@@ -14,6 +14,9 @@ from ..session import shared_dir
 BUCKET_BITS = 32768
 #: A key is heavy if it has at least this share of all rows; so at most so many keys are heavy, whatever the input.
 MOST_HEAVY = 2000
+#: Rows that a Python worker is sent at once while a table is written. Both sides of the pipe hold such a batch, and rows here carry whole texts or sets.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +39,16 @@ def row_columns(columns: Iterable[str], row: str = "row") -> list[Column]:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing. The session's own size of Arrow batches, where it is larger, comes back afterwards."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    theirs = int(spark.conf.get(_ARROW))
+    spark.conf.set(_ARROW, str(ARROW_ROWS if theirs <= 0 else min(theirs, ARROW_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW, str(theirs))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:

@@ -270,3 +270,13 @@ def test_written_tables_can_be_discarded(spark):
     path = df.inputFiles()[0].removeprefix("file://")
     common.discard(df)
     assert not os.path.exists(path)
+
+
+def test_written_tables_leave_the_sessions_batch_size(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for mine in ("7", "0", "50000"):
+        spark.conf.set(name, mine)
+        assert sorted(r[0] for r in common.materialize(spark.range(3), "t").collect()) == [0, 1, 2]
+        assert spark.conf.get(name) == mine
+    spark.conf.set(name, before)
