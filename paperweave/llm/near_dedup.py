@@ -9,7 +9,7 @@ Bands of ROWS coordinates give candidate groups. No group is ever expanded into
 
 1. documents with identical shingle sets become one class, represented by its smallest id;
 2. every band group is compared with its smallest representative only (a star, linear in the group);
-3. groups whose members then still lie in different components are compared across components: all cross pairs where
+3. groups whose members other than that one then still lie in different components are compared across components: all cross pairs where
    those are few, otherwise by an exact prefix join on the shingles that are rarest among the members concerned. FEW_PAIRS only
    chooses between two exact ways. A family whose members share much, yet less than the threshold, has its rarest shingles
    in no other member, and what is left of a set after its first shared shingle is then too short for a link: such rows do
@@ -144,7 +144,9 @@ def _with_set(pairs: DataFrame, sets: DataFrame, side: str, other: str, name: st
     least = max(PAIRS_PER_COPY, -(-total // MOST_HEAVY))
     heavy = F.broadcast(pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_PER_COPY).cast("int").alias("_parts")).where(F.col("_parts") * PAIRS_PER_COPY > least))
     dealt = pairs.join(heavy, side, "left").withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    copied = sets.select(F.col("rep").alias(side), F.col("shingles").alias(name)).join(heavy, side, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    # Sets of no pair stay where they are.
+    needed = may_survive(sets.select(F.col("rep").alias(side), F.col("shingles").alias(name)), survivor_bits(pairs, side), side, "_hit").where("_hit").drop("_hit")
+    copied = needed.join(heavy, side, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(copied, [side, "_part"]).drop("_part")
 
 
@@ -248,7 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = materialize(verify(star, sets), "links")
     comp = components(reps, links)
-    pending = materialize(members.select("band", "rep").join(comp, "rep"), "pending")
+    # The lead of a band has been compared with all its members.
+    pending = materialize(members.where("rep <> lead").select("band", "rep").join(comp, "rep"), "pending")
     rest = materialize(_rest(pending, sets), "rest")
     more = materialize(verify(rest, sets), "links")
     if not more.isEmpty():
