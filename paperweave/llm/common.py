@@ -16,7 +16,9 @@ BUCKET_BITS = 32768
 MOST_HEAVY = 2000
 #: Rows that a Python worker is sent at once while a table is written. Both sides of the pipe hold such a batch, and rows here carry whole texts or sets.
 ARROW_ROWS = 1000
-_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: And so many bytes at most, so that many long texts or sets in a row do not fill a worker; one longer row is a batch of its own.
+ARROW_BYTES = 8 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,15 +41,17 @@ def row_columns(columns: Iterable[str], row: str = "row") -> list[Column]:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing. The session's own size of Arrow batches, where it is larger, comes back afterwards."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing. The session's own sizes of Arrow batches come back afterwards."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    theirs = int(spark.conf.get(_ARROW))
-    spark.conf.set(_ARROW, str(ARROW_ROWS if theirs <= 0 else min(theirs, ARROW_ROWS)))
+    rows, size = int(spark.conf.get(_ROWS)), spark.conf.get(_BYTES)
+    spark.conf.set(_ROWS, str(ARROW_ROWS if rows <= 0 else min(rows, ARROW_ROWS)))
+    spark.conf.set(_BYTES, str(ARROW_BYTES))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_ARROW, str(theirs))
+        spark.conf.set(_ROWS, str(rows))
+        spark.conf.set(_BYTES, size)
     return spark.read.schema(df.schema).parquet(path)
 
 

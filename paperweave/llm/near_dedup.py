@@ -127,8 +127,8 @@ def _set_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         keep = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
+        for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
             if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
                 keep.append(False)
                 continue
