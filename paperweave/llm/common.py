@@ -92,14 +92,18 @@ def _suspects(df: DataFrame, keys: DataFrame, key: Column, name: str) -> tuple[D
 
 
 def drop_rows(df: DataFrame, dropped: DataFrame, key: Column, name: str = "_key") -> DataFrame:
-    """df without the rows whose key is in the column `name` of dropped; a null key stays. The columns of df may have any names."""
+    """df without the rows whose key is in the column `name` of dropped, a written table; a null key stays. The columns of df may have any names."""
+    if dropped.isEmpty():
+        return df
     clean, suspects = _suspects(df, dropped, key, name)
     suspects = suspects.join(dropped.select(name).distinct(), name, "left_anti")
     return clean.select("row").unionByName(suspects.select("row")).select(*row_columns(df.columns))
 
 
 def one_of_each(df: DataFrame, repeated: DataFrame, key: Column, name: str = "_key") -> DataFrame:
-    """df with one row of each key that is in the column `name` of repeated, and all rows of other keys. Repeats are combined in each task before the shuffle."""
+    """df with one row of each key that is in the column `name` of repeated, a written table, and all rows of other keys. Repeats are combined in each task before the shuffle."""
+    if repeated.isEmpty():
+        return df
     clean, suspects = _suspects(df, repeated, key, name)
     again = suspects.join(repeated.select(name, F.lit(True).alias("_again")).distinct(), name, "left")
     once = again.where("_again").groupBy(name).agg(F.first("row").alias("row"))

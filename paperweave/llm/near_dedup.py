@@ -170,12 +170,13 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         # Large star: each node links its larger neighbours to its smallest neighbour or itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_heavy(both, low, "u", "n", 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Written, as the second half of the round names it several times and its plan would hold as many copies of the first.
+        large = materialize(join_heavy(both, low, "u", "n", 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "cc")
         # Small star: each node links its smaller neighbours and itself to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_heavy(large, least, "u", "n", 2 * mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         old, edges = edges, materialize(small.where("u <> v").distinct(), "cc")
-        discard(old)
+        discard(old, large)
         before, mark = mark, _mark(edges)
         if mark == before:
             break
