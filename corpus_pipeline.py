@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.llm import exact_dedup, near_dedup, packing, pii, quality
-from paperweave.llm.common import discard, drop_rows, materialize, may_survive, one_of_each, row_columns, survivor_bits, table, whole_row
+from paperweave.llm.common import discard, drop_rows, join_heavy, materialize, may_survive, one_of_each, row_columns, survivor_bits, table, whole_row
 from paperweave.llm.queries import BYTE_BPE
 from paperweave.session import ship
 
@@ -48,16 +48,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row, number), the number being the id where no other row has it, else one from id and text above 2^62, so that ids in use come first; and the keys of rows that repeat both id and text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), _row().alias("_key"))
-    each = rows.groupBy("id", "_key").agg(F.count("*").alias("n"))
-    many = materialize(each.groupBy("id").agg(F.sum("n").alias("n")).where("id is null or n > 1"), "repeated")
-    again = materialize(each.where("n > 1").select("_key"), "repeated")
-    wide = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), _row().alias("key"))
-    other = F.lit(1 << 62) + F.xxhash64("key").bitwiseAND(F.lit((1 << 62) - 1))
-    flagged = may_survive(wide, survivor_bits(many, "id"), "id", "_suspect")
-    plain = flagged.where("not _suspect").select("row", F.coalesce("id", other).alias("number"))
-    suspects = flagged.where("_suspect").join(many.select("id", F.lit(True).alias("_again")), "id", "left")
+    """(row, number), the number being the id where no other row has it, else one from id and text above 2^62, so that ids in use come first; and the keys of rows that repeat both id and text, a written table."""
+    wide = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), _row().alias("_key"))
+    many = materialize(wide.groupBy("id").agg(F.count("*").alias("n"), F.lit(True).alias("_again")).where("id is null or n > 1"), "repeated")
+    if many.isEmpty():  # all ids are there and differ
+        return wide.select("row", F.col("id").alias("number")), many.select(F.struct("id", "id").alias("_key"))
+    flagged = may_survive(wide.where("id is not null"), survivor_bits(many, "id"), "id", "_suspect")
+    rows_of_many = many.agg(F.sum("n")).first()[0]
+    suspects = join_heavy(flagged.where("_suspect"), many.where("id is not null"), "id", "n", rows_of_many, "left").select("row", "id", "_key", F.coalesce("_again", F.lit(False)).alias("_again"))
+    suspects = suspects.unionByName(wide.where("id is null").withColumn("_again", F.lit(True)))
+    again = materialize(suspects.where("_again").groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"), "repeated")
+    other = F.lit(1 << 62) + F.xxhash64("_key").bitwiseAND(F.lit((1 << 62) - 1))
+    plain = flagged.where("not _suspect").select("row", F.col("id").alias("number"))
     return plain.unionByName(suspects.select("row", F.when(F.col("_again"), other).otherwise(F.col("id")).alias("number"))), again
 
 
