@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, near_dedup, packing, pii, quality, token_output, toxicity
+from . import bpe, chat, exact_dedup, importance, langid, lexical_search, near_dedup, packing, pii, quality, simhash, token_output, toxicity
 from .common import crc_mod, table
 
 WORD_BPE, BYTE_BPE = (public_tokenizers.path(f"{x}.json") for x in ("word_bpe_49k", "byte_bpe_50k"))
@@ -62,10 +62,26 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows, BYTE_BPE))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("print")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_exact_dedup, op3_packing, op4_language_id, op5_pii, op6_toxicity, op7_token_shards, op8_minhash_near_dedup, op9_quality_rules, op10_chat_format)
-}
+    for f in (
+        op1_bpe_round_trip, op2_exact_dedup, op3_packing, op4_language_id, op5_pii, op6_toxicity, op7_token_shards, op8_minhash_near_dedup, op9_quality_rules, op10_chat_format,
+        op11_lexical_search, op12_importance_resampling, op13_simhash_near_dedup,
+    )
+}
 
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": """
@@ -101,4 +117,43 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(n + length('<|im_start|><|im_sep|><|im_end|>')) AS BIGINT) AS formatted_chars
         FROM escaped GROUP BY conv_id""",
+    "op11_lexical_search": r"""
+        WITH t AS (
+            SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+        n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+        a AS (SELECT count(*) AS N, CAST(sum(n) AS BIGINT) AS L FROM n),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        q AS (
+            SELECT DISTINCT item_id, unnest(list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM benchmark),
+        w AS (SELECT item_id, term, CAST(floor(1000 * ln((2 * a.N + 2) / (2 * df + 1))) AS BIGINT) AS w FROM q JOIN df USING (term), a),
+        s AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n.n * a.N) // a.L)))) AS BIGINT) AS score
+            FROM w JOIN tf USING (term) JOIN n USING (doc_id), a GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 10""",
+    "op12_importance_resampling": r"""
+        WITH crc_table AS (
+            SELECT list(list_reduce([b] || [1, 2, 3, 4, 5, 6, 7, 8], lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS step
+            FROM (SELECT unnest(range(256)) AS b)),
+        words AS (
+            SELECT 0 AS side, doc_id AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+            UNION ALL
+            SELECT 1, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+        bytes AS (SELECT word, list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM (SELECT DISTINCT word FROM words)),
+        buckets AS (
+            SELECT word, xor(list_reduce([CAST(4294967295 AS BIGINT)] || b, lambda c, x: xor(c >> 8, step[CAST(xor(c & 255, x) AS INTEGER) + 1])), 4294967295) % 10000 AS bucket
+            FROM bytes, crc_table),
+        found AS (SELECT side, id, bucket FROM words JOIN buckets USING (word)),
+        totals AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM found GROUP BY bucket),
+        sums AS (SELECT CAST(sum(s) AS BIGINT) AS s_all, CAST(sum(t) AS BIGINT) AS t_all FROM totals),
+        gains AS (
+            SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM totals, sums),
+        weights AS (SELECT id, count(*) AS n, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM found JOIN gains USING (bucket) WHERE side = 0 GROUP BY id),
+        scored AS (
+            SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+            FROM documents LEFT JOIN weights ON id = doc_id),
+        able AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+        SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored s LEFT JOIN able USING (doc_id)""",
 }
