@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import filings as rules
 from ..functions import quality
 from ..functions.text import contains_any, text_of
-from . import evidence, search
+from . import evidence, index, search
 
 # Queries that a question expands to, with the evidence type that each looks for.
 ACCOUNTING_QUERIES = (
@@ -35,6 +35,13 @@ FINANCIAL_QUERIES = (("cost of revenues", "cost_of_revenues"), ("selling and mar
 PAGES, CHARS = 8, 12_000
 PROBE_PAGES, GARBLED_SHARE = 64, 0.05
 MOST_EXPANDED = 12
+#: Hits of one query at most, whatever its type.
+MOST_HITS = 24
+
+
+def _word_hits(pages: DataFrame, queries: DataFrame, kept: index.PageIndex | None) -> DataFrame:
+    """Word search over the pages, or over an index that is kept of them."""
+    return index.word_hits(kept, queries) if kept else search.word_hits(pages, queries)
 
 
 def _queries(pairs: tuple) -> Column:
@@ -57,7 +64,7 @@ def expand(questions: DataFrame) -> DataFrame:
 
 def query_limit(types: Column, most_pages: int) -> Column:
     """Hits of each query: 24 where any looks for a biography, else 3 to 8 by the pages asked."""
-    return F.when(F.array_contains(types, "biography"), 24).otherwise(max(3, min(8, most_pages)))
+    return F.when(F.array_contains(types, "biography"), MOST_HITS).otherwise(max(3, min(8, most_pages)))
 
 
 def basic(hits: DataFrame, pages: DataFrame, most_pages: int = PAGES, most_chars: int = CHARS, by: list[Column] | None = None) -> DataFrame:
@@ -70,14 +77,15 @@ def basic(hits: DataFrame, pages: DataFrame, most_pages: int = PAGES, most_chars
     return evidence.budget(wide, most_chars, ["query_id"], ["rank"])
 
 
-def planned(questions: DataFrame, pages: DataFrame, most_pages: int = PAGES, most_chars: int = CHARS) -> DataFrame:
+def planned(questions: DataFrame, pages: DataFrame, most_pages: int = PAGES, most_chars: int = CHARS, kept: index.PageIndex | None = None) -> DataFrame:
     """(question_id, document_id, page_no, place, matched_queries, text, truncated): search of all queries of a question, merge, adjacent pages, quotas, excerpts around the matches, budget. questions: question_id, question, strategy."""
     asked = expand(questions).withColumn("query_id", F.concat_ws("#", "question_id", "pos"))
     if most_pages <= 0 or most_chars <= 0:
         asked = asked.limit(0)
     limits = asked.groupBy("question_id").agg(query_limit(F.collect_set("evidence_type"), most_pages).alias("_limit"))
-    hits = search.word_hits(pages, asked.select("query_id", "query"))
-    ranked = hits.withColumn("_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("document_id", "page_no")))
+    hits = _word_hits(pages, asked.select("query_id", "query"), kept)
+    # Cut by a number first, so that each task keeps only so many rows of a query.
+    ranked = search.top(hits, MOST_HITS, [F.col("document_id"), F.col("page_no")]).withColumnRenamed("rank", "_rank")
     ranked = ranked.join(asked, "query_id").join(limits, "question_id").where(F.col("_rank") <= F.col("_limit")).withColumn("snippet", F.lit(None).cast("string"))
     keys = ["question_id", "document_id", "page_no"]
     merged = evidence.merge(ranked.select(*keys, "query", "evidence_type", "snippet"), keys)
@@ -126,12 +134,12 @@ def expanded(requests: DataFrame, pages: DataFrame, most_chars: int) -> DataFram
 STATUSES = ("sufficient", "partial", "insufficient", "conflicting")
 
 
-def execute(claims: DataFrame, pages: DataFrame, most_pages: int, claim_chars: int, total_chars: int) -> DataFrame:
+def execute(claims: DataFrame, pages: DataFrame, most_pages: int, claim_chars: int, total_chars: int, kept: index.PageIndex | None = None) -> DataFrame:
     """One round of a plan for any number of plans: all claims are searched in one job, each shows its first pages within its fair share of the plan's characters. claims: plan_id, claim_no, query. Gives plan_id, claim_no, document_id, page_no, rank, evidence_id, text, truncated."""
     from ..plans import review
 
     asked = claims.select("plan_id", "claim_no", F.concat_ws("#", "plan_id", "claim_no").alias("query_id"), "query")
-    shown = search.top(search.word_hits(pages, asked.select("query_id", "query")), most_pages, [F.col("document_id"), F.col("page_no")])
+    shown = search.top(_word_hits(pages, asked.select("query_id", "query"), kept), most_pages, [F.col("document_id"), F.col("page_no")])
     wide = shown.join(pages.select("document_id", "page_no", "text"), ["document_id", "page_no"])
     need = asked.join(wide.groupBy("query_id").agg(F.sum(F.length(text_of(F.col("text")))).alias("need")), "query_id", "left").select("plan_id", "claim_no", "query_id", F.coalesce("need", F.lit(0)).alias("need"))
     granted = review.fair_share(need.drop("query_id"), total_chars, claim_chars, ["plan_id"], ["claim_no"], "need").select("plan_id", "claim_no", "granted")

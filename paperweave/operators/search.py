@@ -1,7 +1,8 @@
 """Page search. Pages are rows (document_id, page_no, text); queries are rows (query_id, query) or a stated list.
 
-Word search joins the tokens of pages and queries; only tokens that some query has reach the shuffle. Substring search tests
-a stated list of queries against each page where it is read. Both order their results totally: branch, score, document, page.
+These searches read all pages; index.py has the same ones over a kept index. Word search joins the asked tokens of pages with
+queries. Substring search tests a stated list of queries against each page where it is read. Both order their results totally:
+branch, score, document, page.
 """
 
 from __future__ import annotations
@@ -36,16 +37,23 @@ def tokens(c: Column) -> Column:
 def word_hits(pages: DataFrame, queries: DataFrame, match_ids: bool = True) -> DataFrame:
     """(query_id, document_id, page_no) of pages that have every token of the query, in the text or the document's id.
 
-    A query meets a page on one of its tokens only, the longest, as a rule a rare one; the others are tested on the page's own
-    list of tokens. So a common word makes no rows for the queries that hold it, and nothing is counted after the join.
+    Of a page's tokens only asked ones become rows, and no row carries a list. With up to MOST_STATED asked tokens these
+    are picked where the page is read, and each task counts a page's tokens by query before the shuffle; with more, a query's
+    pages are taken from its rarest token (index.conjunctions). For many searches over the same pages, keep an index.
     """
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("_all")).where(F.size("_all") > 0)
-    longest = F.get(F.sort_array(F.transform("_all", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), F.lit(0))["t"]
-    asked = asked.withColumn("_token", longest)
+    from . import index
+
+    each = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
     body = F.concat_ws(" ", F.col("document_id"), F.col("text")) if match_ids else F.col("text")
-    listed = pages.select("document_id", "page_no", F.array_distinct(tokens(body)).alias("_has"))
-    met = listed.select("document_id", "page_no", "_has", F.explode("_has").alias("_token")).join(asked, "_token")
-    return met.where(F.size(F.array_except("_all", "_has")) == 0).select("query_id", "document_id", "page_no")
+    few = each.limit(index.MOST_STATED + 1).collect()
+    if len(few) > index.MOST_STATED:
+        postings = pages.select("document_id", "page_no", F.explode(F.array_distinct(tokens(body))).alias("token")).join(each.select("token").distinct(), "token", "left_semi")
+        return index.conjunctions(postings, postings.groupBy("token").agg(F.count("*").alias("df")), each)
+    asked = F.array(*[F.lit(t) for t in sorted({r["token"] for r in few})]) if few else F.array().cast("array<string>")
+    size = each.groupBy("query_id").agg(F.count("*").alias("_n"))
+    met = pages.select("document_id", "page_no", F.explode(F.array_intersect(tokens(body), asked)).alias("token")).join(each, "token")
+    counted = met.groupBy("query_id", "document_id", "page_no").agg(F.count("*").alias("_k"))
+    return counted.join(size, "query_id").where("_k = _n").select("query_id", "document_id", "page_no")
 
 
 def phrase_filter(hits: DataFrame, pages: DataFrame, queries: DataFrame) -> DataFrame:
@@ -102,24 +110,28 @@ def top(hits: DataFrame, limit: int, by: list[Column], within: list[str] = ["que
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(*by))).where(F.col("rank") <= limit)
 
 
-def hybrid_hits(pages: DataFrame, queries: list[tuple[str, str]], queries_df: DataFrame) -> DataFrame:
-    """(query_id, document_id, page_no, branch, score): word hits first, then substring hits of pages not yet there.
+def hybrid_hits(pages: DataFrame, queries: list[tuple[str, str]], queries_df: DataFrame, kept=None) -> DataFrame:
+    """(query_id, document_id, page_no, branch, score): word hits first, then substring hits of pages not yet there. kept: an index of the pages, to search in its stead.
 
     A compact CJK query asks the substrings first; a query of 4 to 24 words adds pages with parts of it; any other query asks
     the substrings only where no page has all its words.
     """
     is_cjk = [q for q in queries if not any(c.isspace() for c in q[1].strip()) and len(q[1].strip()) <= 24 and any("㐀" <= c <= "鿿" for c in q[1])]
     is_long = [q for q in queries if 4 <= len([p for p in q[1].split() if len(p) >= 2]) <= 24 and len(q[1]) <= 400]
-    word = word_hits(pages, queries_df).withColumn("score", F.lit(None).cast("int"))
+    from . import index
+
+    words, parts = (index.word_hits, index.substring_hits) if kept else (word_hits, substring_hits)
+    pages = kept or pages
+    word = words(pages, queries_df).withColumn("score", F.lit(None).cast("int"))
     found = [word.withColumn("branch", F.when(F.col("query_id").isin([n for n, _ in is_cjk]), 1).otherwise(0))]
     always = is_cjk + is_long
     for group, loose in ((is_cjk, False), (is_long, True)):
         if group:
-            found.append(substring_hits(pages, group, loose).withColumn("branch", F.lit(0 if group is is_cjk else 1)))
+            found.append(parts(pages, group, loose).withColumn("branch", F.lit(0 if group is is_cjk else 1)))
     rest = [q for q in queries if q not in always]
     if rest:
         answered = word.select("query_id").distinct()
-        found.append(substring_hits(pages, rest).join(answered, "query_id", "left_anti").withColumn("branch", F.lit(1)))
+        found.append(parts(pages, rest).join(answered, "query_id", "left_anti").withColumn("branch", F.lit(1)))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
@@ -210,26 +222,12 @@ def grammar_hits(pages: DataFrame, queries: list[tuple[str, str]]) -> tuple[Data
     return rows.select(F.explode(names).alias("query_id"), "document_id", "page_no"), plain
 
 
-# --- postings ----------------------------------------------------------------------------------------------------------
+# --- what an index is made of ----------------------------------------------------------------------------------------------------------
 def trigrams(c: Column) -> Column:
     """Every three letters in a row, each once; one pass over the text."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text_of(c)), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
 
 
-def trigram_postings(pages: DataFrame) -> DataFrame:
-    """(trigram, document_id, page_no): the index to keep, by trigram, for substring searches over many pages."""
-    return pages.select(F.explode(trigrams(F.col("text"))).alias("trigram"), "document_id", "page_no")
-
-
-def trigram_hits(postings: DataFrame, pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, document_id, page_no) of pages that hold the term: candidates by the term's rarest trigram alone, then the text itself. terms: query_id, term of three letters or more."""
-    of = terms.select("query_id", F.lower("term").alias("term"), F.explode(trigrams(F.col("term"))).alias("trigram"))
-    counts = postings.join(of.select("trigram").distinct(), "trigram", "left_semi").groupBy("trigram").agg(F.count("*").alias("df"))
-    rare = of.join(counts, "trigram", "left").groupBy("query_id", "term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "trigram")).alias("r"))
-    met = postings.join(rare.select("query_id", "term", F.col("r.trigram").alias("trigram")), "trigram").select("query_id", "term", "document_id", "page_no")
-    return met.join(pages.select("document_id", "page_no", "text"), ["document_id", "page_no"]).where(F.lower(text_of(F.col("text"))).contains(F.col("term"))).select("query_id", "document_id", "page_no")
-
-
 K1, B = 1.2, 0.75
 
 

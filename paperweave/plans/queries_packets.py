@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import packets, search
-from .queries_search import LINES, TURNS, lines, table, turns, word_sql
+from ..operators import index, packets, search
+from ..session import shared_dir
+from .queries_search import LINES, TURNS, kept_lines, kept_turns, table, turns, word_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +25,26 @@ def register(sql: str | None = None):
     return add
 
 
+@register(rf"""WITH {LINES} SELECT document_id, count(*) AS pages, CAST(sum(len(list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> ''))) AS BIGINT) AS tokens FROM pages GROUP BY document_id""")
+def page_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all lines, made here if no query before made it: pages and tokens of each document."""
+    return kept_lines(spark, sf_dir).table("pages").groupBy("document_id").agg(F.count("*").alias("pages"), F.sum("n").alias("tokens"))
+
+
+@register(r"""WITH pages AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, coalesce(text, '') || CASE WHEN quality = 1 THEN ' Reviewed twice' ELSE '' END AS text FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0),
+    t AS (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(document_id || ' ' || text)), '[^\p{L}\p{N}]+'), lambda t: t <> ''))) AS token FROM pages)
+    SELECT token, count(*) AS df FROM t GROUP BY token""")
+def page_index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all documents, then brought up to date: good documents get a few more words, toxic ones leave. In how many pages each token is afterwards."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    page = [F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_no")]
+    path = f"{shared_dir(spark)}/page-index-{uuid.uuid4().hex}"
+    index.update(spark, path, docs.select(*page, "text"))
+    good = docs.join(labels.where("quality = 1 and toxic = 0"), "doc_id").select(*page, F.concat(F.coalesce("text", F.lit("")), F.lit(" Reviewed twice")).alias("text"))
+    after = index.update(spark, path, good, labels.where("toxic = 1").select(F.col("doc_id").alias("document_id")))
+    return after.table("blocks").groupBy("token").agg(F.sum("df").alias("df"))
+
+
 GRAMMAR = [("g1", "the tion*"), ("g2", "und OR que"), ("g3", "of NOT the"), ("g4", '"in the"'), ("g5", "p&l"), ("g6", '"open')]
 
 
@@ -31,18 +54,18 @@ GRAMMAR = [("g1", "the tion*"), ("g2", "und OR que"), ("g3", "of NOT the"), ("g4
     UNION ALL SELECT 'g4', document_id, page_no FROM t WHERE contains(' ' || array_to_string(h, ' ') || ' ', ' in the ') UNION ALL SELECT 'g5', document_id, page_no FROM t WHERE contains(low, 'p&l') UNION ALL SELECT 'g6', document_id, page_no FROM t WHERE contains(low, '"open')""")
 def search_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beginnings, OR, NOT and phrases; what is no query of the language is searched as a substring."""
-    pages = turns(spark, sf_dir)
-    hits, plain = search.grammar_hits(pages, GRAMMAR)
-    return hits.unionByName(search.substring_hits(pages, plain).select(hits.columns))
+    pages = kept_turns(spark, sf_dir)
+    hits, plain = index.grammar_hits(pages, GRAMMAR)
+    return hits.unionByName(index.substring_hits(pages, plain).select(hits.columns))
 
 
-TERMS = [("t1", "thing"), ("t2", "tion an"), ("t3", "xyzzy"), ("t4", "Der")]
+TERMS = [("t1", "thing"), ("t2", "tion an"), ("t3", "xyzzy"), ("t4", "Der"), ("t5", "qu")]
 
 
 @register(f"WITH {LINES}, q(query_id, term) AS (VALUES {', '.join(str(t) for t in TERMS)}) SELECT query_id, document_id, page_no FROM pages, q WHERE contains(lower(text), lower(term))")
 def search_trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = lines(spark, sf_dir)
-    return search.trigram_hits(search.trigram_postings(pages), pages, spark.createDataFrame(TERMS, "query_id string, term string"))
+    """Stated terms by their rarest trigrams; one of two letters is searched in the texts."""
+    return index.term_hits(kept_lines(spark, sf_dir), TERMS).select("query_id", "document_id", "page_no")
 
 
 RANKED = [("b1", "the thing of"), ("b2", "und der tion")]
@@ -55,8 +78,8 @@ RANKED = [("b1", "the thing of"), ("b2", "und der tion")]
     SELECT query_id, document_id, page_no, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, page_no) AS rank FROM r QUALIFY rank <= 20""")
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best turns of each query by BM25."""
-    hits = search.bm25(turns(spark, sf_dir), spark.createDataFrame(RANKED, "query_id string, query string"))
-    return search.top(hits, 20, [F.desc("score"), F.col("document_id"), F.col("page_no")]).select("query_id", "document_id", "page_no", F.col("rank").cast("long").alias("rank"))
+    hits = index.bm25(kept_turns(spark, sf_dir), spark.createDataFrame(RANKED, "query_id string, query string"), 20)
+    return hits.select("query_id", "document_id", "page_no", F.col("rank").cast("long").alias("rank"))
 
 
 def _values(pairs: tuple) -> str:
@@ -95,7 +118,7 @@ _ASKED = ", ".join(str(t) for t in ASKED)
 def packet_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight pages of each query within 2,000 characters."""
     pages = turns(spark, sf_dir)
-    hits = search.word_hits(pages, spark.createDataFrame(ASKED, "query_id string, query string"))
+    hits = index.word_hits(kept_turns(spark, sf_dir), spark.createDataFrame(ASKED, "query_id string, query string"))
     return packets.basic(hits, pages, 8, 2000).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -103,7 +126,7 @@ def packet_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packet_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of questions whose strategy expands them, over all turns; tested against its parts on stated pages."""
     asked = spark.createDataFrame([("a", "the thing", "basic"), ("b", "user incentives", "accounting_policy"), ("c", "und der", "financial_analysis")], "question_id string, question string, strategy string")
-    out = packets.planned(asked, turns(spark, sf_dir))
+    out = packets.planned(asked, turns(spark, sf_dir), kept=kept_turns(spark, sf_dir))
     return out.select("question_id", "document_id", "page_no", F.col("place").cast("long").alias("place"), F.array_join("matched_queries", "|").alias("matched_queries"), "text", "truncated")
 
 
@@ -127,7 +150,7 @@ def hits_with_tables_and_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def empty_hit_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of conversations without a hit, those whose first pages are garbled (here the first page of every other one)."""
     pages = turns(spark, sf_dir)
-    hits = search.word_hits(pages, spark.createDataFrame([("x", "the")], "query_id string, query string"))
+    hits = index.word_hits(kept_turns(spark, sf_dir), spark.createDataFrame([("x", "the")], "query_id string, query string"))
     broken = F.when((F.col("document_id").cast("long") % 2 == 0) & (F.col("page_no") == 1), F.lit("A;B>C?D\x01" * 80)).otherwise(F.lit("Some words that can be read and say no more than they should, on every page of this document."))
     return packets.empty_probe(pages.select("document_id").distinct(), hits, pages.withColumn("text", broken))
 
@@ -172,7 +195,7 @@ def plan_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All claims of all plans in one job, each plan's 4,000 characters shared fairly. Plans have 30 claims at most, and grow in number with the table."""
     b = table(spark, sf_dir, "benchmark")
     claims = b.select(F.floor(F.col("item_id") / 30).alias("plan_id"), (F.col("item_id") % 30).alias("claim_no"), F.element_at(F.array(*map(F.lit, WORDS)), (F.col("item_id") % 4 + 1).cast("int")).alias("query"))
-    out = packets.execute(claims, turns(spark, sf_dir), 3, 900, 4000)
+    out = packets.execute(claims, turns(spark, sf_dir), 3, 900, 4000, kept_turns(spark, sf_dir))
     return out.select(F.concat_ws("#", "plan_id", "claim_no").alias("query_id"), "document_id", "page_no", "evidence_id", "text", "truncated")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quality
-from ..operators import documents, evidence, search
+from ..operators import documents, evidence, index, search
+from ..session import shared_dir
 from ..sources import readers, writers
 
 QUERIES: dict = {}
@@ -36,6 +39,20 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("document_id", (F.col("pos") + 1).cast("long").alias("page_no"), "text")
 
 
+def kept_turns(spark: SparkSession, sf_dir: str) -> index.PageIndex:
+    """The index of all turns: made once for the table, and used by every later query."""
+    return _kept(spark, sf_dir, "conversations", turns(spark, sf_dir))
+
+
+def kept_lines(spark: SparkSession, sf_dir: str) -> index.PageIndex:
+    return _kept(spark, sf_dir, "documents", lines(spark, sf_dir))
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, pages: DataFrame) -> index.PageIndex:
+    source = table(spark, sf_dir, name)
+    return index.kept(spark, f"{name}-{zlib.crc32(sf_dir.encode()):08x}", source, pages, shared_dir(spark))
+
+
 TURNS = "pages AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn + 1 AS page_no, text FROM conversations)"
 LINES = """pages AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS page_no,
     unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents)"""
@@ -57,7 +74,7 @@ BENCHMARK = r"queries AS (SELECT item_id AS query_id, regexp_extract(text, '^\s*
 def search_word_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that have the first two words of a benchmark item."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^\s*\S+\s+\S+", 0).alias("query"))
-    return search.word_hits(lines(spark, sf_dir), queries)
+    return index.word_hits(kept_lines(spark, sf_dir), queries)
 
 
 SUBSTRINGS = [("s1", "the thing"), ("s2", "Apache License"), ("s3", "de la"), ("s4", "no such words"), ("s5", "disgusting")]
@@ -76,7 +93,7 @@ def substring_sql(queries: list[tuple[str, str]], relaxed: bool = False) -> str:
 @register(f"WITH {LINES}, {substring_sql(SUBSTRINGS)} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_no, document_id) AS rank FROM subs QUALIFY rank <= 50")
 def search_substring_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best lines of each query."""
-    hits = search.substring_hits(lines(spark, sf_dir), SUBSTRINGS).withColumn("score", F.col("score").cast("long"))
+    hits = index.substring_hits(kept_lines(spark, sf_dir), SUBSTRINGS).withColumn("score", F.col("score").cast("long"))
     return search.top(hits, 50, [F.desc("score"), F.col("page_no"), F.col("document_id")]).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -90,7 +107,7 @@ _LONG_VALUES = ", ".join(f"('{n}', '{q}')" for n, q in LONG)
 def search_hybrid_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with all words of a longer query first, then those with some of them."""
     asked = spark.createDataFrame(LONG, "query_id string, query string")
-    hits = search.hybrid_hits(turns(spark, sf_dir), LONG, asked)
+    hits = search.hybrid_hits(turns(spark, sf_dir), LONG, asked, kept_turns(spark, sf_dir))
     return hits.select("query_id", "document_id", "page_no", F.col("branch").cast("long").alias("branch"), F.col("score").cast("long").alias("score"))
 
 
@@ -106,7 +123,7 @@ def search_phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word hits, held to the exact phrase where a small word is in the query and some page has the phrase."""
     asked = spark.createDataFrame(PHRASES, "query_id string, query string")
     pages = turns(spark, sf_dir)
-    return search.phrase_filter(search.word_hits(pages, asked), pages, asked)
+    return search.phrase_filter(index.word_hits(kept_turns(spark, sf_dir), asked), pages, asked)
 
 
 @register("""WITH p AS (SELECT doc_id, coalesce(text, '') AS body, list_filter([strpos(lower(coalesce(text, '')), 'license'), strpos(lower(coalesce(text, '')), 'worthless')], lambda x: x > 0) AS places FROM documents)
@@ -151,7 +168,7 @@ DIVERSE = f"""{ADJACENT},
 def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pages = turns(spark, sf_dir)
     asked = spark.createDataFrame([(q, q, t) for q, t in MULTI], "query_id string, query string, evidence_type string")
-    hits = search.word_hits(pages, asked).join(asked, "query_id").withColumn("snippet", F.lit(None).cast("string"))
+    hits = index.word_hits(kept_turns(spark, sf_dir), asked).join(asked, "query_id").withColumn("snippet", F.lit(None).cast("string"))
     return evidence.merge(hits), pages
 
 

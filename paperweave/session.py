@@ -41,6 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unwrite(*tables: DataFrame) -> None:
+    """Delete tables that written() wrote, once all that is made of them has been written itself."""
+    for df in tables:
+        spark, ours = df.sparkSession, shared_dir(df.sparkSession).split(":")[-1]
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if ours in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def build(app_name: str = "paperweave", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session with the settings that the results assume (UTC, adaptive execution)."""
     return (
