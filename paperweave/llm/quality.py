@@ -1,18 +1,19 @@
 """Quality rules by distribution divergence.
 
 Each language of the corpus gets a reference: the share of each character class, and of its most common words and all others.
-A document is compared with every reference by the Jensen-Shannon distance (base 2, so 0 to 1) of both histograms and is held
-to the closest one; below a minimum length a histogram says too little and its rule is left out. Texts stay whole, and the
-counts behind the references cover all documents.
+A document is compared by the Jensen-Shannon distance (base 2, so 0 to 1) of both histograms with the reference of its own language and
+with those of the MOST_COMPARED largest languages, and is held to the closest one; so further rows of other languages can never
+cost a document its place. A document whose own language has no reference is not judged by divergence; neither is a
+histogram below a minimum length, which says too little. Texts stay whole, and the counts behind the references cover all documents.
 
 The bounds MAX_CHAR_DISTANCE and MAX_WORD_DISTANCE are parameters. At 0.28 bits by class and 0.45 by common word, prose keeps a
 margin (a clean text of GUARD_WORDS words lies near 0.1 and 0.3), while texts of which a third of the words carry marks, or
 that use next to none of a language's common words, lie beyond.
 
 Defined cases: null or blank text has no words and fails the base rule; a very long text is counted whole; a null lang is a
-language of its own; languages with fewer than REFERENCE_WORDS words, or less than one part in MOST_REFERENCES of all words, give
-no reference (so there are MOST_REFERENCES at most), and without references only the base rule decides; a tie between references
-goes to the first language, and between common words to the smaller hash; repeated rows are judged alike; null ids stay null; an
+language of its own; languages with fewer than REFERENCE_WORDS words, and those after the MOST_REFERENCES largest, give no
+reference, whatever their share of the corpus, and for their documents the base rule alone decides; a tie between references
+goes to the larger language (of equal ones to the first by name), and between common words to the smaller hash; repeated rows are judged alike; null ids stay null; an
 empty table gives an empty result; other columns are ignored, and returned by keep_good, whatever their names.
 """
 
@@ -35,7 +36,8 @@ COMMON_WORDS = 40
 GUARD_CHARS, GUARD_WORDS = 200, 60
 #: Distances beyond which a document differs from every reference.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.45
-REFERENCE_WORDS, MOST_REFERENCES = 2000, 200
+#: Words from which on a language gives a reference; references that every document is compared with, and references in all (49 numbers each, sent to every task).
+REFERENCE_WORDS, MOST_COMPARED, MOST_REFERENCES = 2000, 50, 10_000
 COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
 
 LINE = np.zeros(256, bool)
@@ -52,8 +54,9 @@ _CLASS[128:192], _CLASS[192:] = 8, 7
 
 @dataclass
 class References:
-    """Row by row for each language: class shares, the sorted hashes of its common words, their shares, and last the share of all others."""
+    """Row by row for each language, the largest first: its name, class shares, the sorted hashes of its common words, their shares, and last the share of all others."""
 
+    langs: list[str | None]
     chars: np.ndarray
     words: np.ndarray
     shares: np.ndarray
@@ -122,17 +125,17 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     words = salted.where("kind = 1").withColumn("r", best("salt")).where(F.col("r") <= COMMON_WORDS).withColumn("r", best()).where(F.col("r") <= COMMON_WORDS)
     totals = counts.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), "n")
     totals = materialize(totals, "languages")
-    every = totals.agg(F.sum("n")).first()[0] or 0
-    large = [r["lang"] for r in totals.where(F.col("n") >= max(REFERENCE_WORDS, every / MOST_REFERENCES)).select("lang").collect()]
-    of_large = F.col("lang").isin([x for x in large if x is not None]) | (F.col("lang").isNull() & F.lit(None in large))
-    rows = words.select("lang", "kind", "key", "n").unionByName(counts.where("kind = 0")).unionByName(totals).where(of_large).collect()
+    large = [r["lang"] for r in totals.where(F.col("n") >= REFERENCE_WORDS).orderBy(F.desc("n"), F.asc_nulls_first("lang")).limit(MOST_REFERENCES).select("lang").collect()]
+    wanted = docs.sparkSession.createDataFrame([(x,) for x in large], "of string")  # MOST_REFERENCES rows at most
+    of_large = F.col("lang").eqNullSafe(F.col("of"))
+    rows = words.select("lang", "kind", "key", "n").unionByName(counts.where("kind = 0")).unionByName(totals).join(F.broadcast(wanted), of_large, "left_semi").collect()
     if rows:  # an empty result can come before all of its stages have ended
         discard(counts, totals)
     by: dict = {}
     for r in rows:
         by.setdefault(r["lang"], {0: {}, 1: {}, 2: {}})[r["kind"]][r["key"]] = r["n"]
     chars, words_of, shares = [], [], []
-    for lang in sorted(by, key=lambda x: (x is not None, x)):
+    for lang in large:
         c, w, total = by[lang][0], by[lang][1], by[lang][2].get(0, 0)
         pairs = sorted(w.items())
         pairs += [(0, 0)] * (COMMON_WORDS - len(pairs))
@@ -142,25 +145,29 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         chars.append(np.array([c.get(i, 0) for i in range(CLASSES)], float) / max(1, sum(c.values())))
         words_of.append(k.view(U64)[order])
         shares.append(np.append(n[order], total - n.sum()) / total)
-    return References(np.array(chars).reshape(-1, CLASSES), np.array(words_of, U64).reshape(-1, COMMON_WORDS), np.array(shares).reshape(-1, COMMON_WORDS + 1))
+    return References(large, np.array(chars).reshape(-1, CLASSES), np.array(words_of, U64).reshape(-1, COMMON_WORDS), np.array(shares).reshape(-1, COMMON_WORDS + 1))
 
 
-def _distances(texts: Texts, words: np.ndarray, doc: np.ndarray, n_words: np.ndarray, ref: References) -> tuple[np.ndarray, np.ndarray]:
-    """Of every text from every reference: char and word distances, 0 where the text is too short for one."""
-    n, langs = texts.n, len(ref.chars)
+def _distances(texts: Texts, words: np.ndarray, doc: np.ndarray, n_words: np.ndarray, own: np.ndarray, ref: References) -> tuple[np.ndarray, np.ndarray]:
+    """Of every text that has an own reference (its number, else -1), char and word distance from the closest one; 0 where the text is too short for one, or has none."""
     chars = class_counts(texts)
     total = chars.sum(axis=1)
-    by_char, by_word = np.zeros((n, langs)), np.zeros((n, langs))
-    long = np.flatnonzero(total >= GUARD_CHARS)
-    p = chars[long] / total[long, None]
-    wordy = np.flatnonzero(n_words >= GUARD_WORDS)
-    for k in range(langs):
-        by_char[long, k] = js_distance(p, ref.chars[k])
+    closest = np.where(own >= 0, np.inf, 0)
+    char_d, word_d = np.zeros(texts.n), np.zeros(texts.n)
+    judged = own >= 0
+    for k in dict.fromkeys([*range(min(MOST_COMPARED, len(ref.langs))), *own[judged].tolist()]):
+        some = judged if k < MOST_COMPARED else own == k
+        by_char, by_word = np.zeros(texts.n), np.zeros(texts.n)
+        long, wordy = some & (total >= GUARD_CHARS), some & (n_words >= GUARD_WORDS)
+        by_char[long] = js_distance(chars[long] / total[long, None], ref.chars[k])
         at = np.minimum(np.searchsorted(ref.words[k], words), COMMON_WORDS - 1)
         at = np.where(ref.words[k][at] == words, at, COMMON_WORDS)
-        hist = np.bincount(doc * (COMMON_WORDS + 1) + at, minlength=n * (COMMON_WORDS + 1)).reshape(n, -1)
-        by_word[wordy, k] = js_distance(hist[wordy] / n_words[wordy, None], ref.shares[k])
-    return by_char, by_word
+        hist = np.bincount(doc * (COMMON_WORDS + 1) + at, minlength=texts.n * (COMMON_WORDS + 1)).reshape(texts.n, -1)
+        by_word[wordy] = js_distance(hist[wordy] / n_words[wordy, None], ref.shares[k])
+        worst = np.maximum(by_char / MAX_CHAR_DISTANCE, by_word / MAX_WORD_DISTANCE)
+        nearer = some & (worst < closest)
+        closest[nearer], char_d[nearer], word_d[nearer] = worst[nearer], by_char[nearer], by_word[nearer]
+    return char_d, word_d
 
 
 def repeated(words: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -185,20 +192,16 @@ def dup_lines(texts: Texts, n: int) -> np.ndarray:
     return np.bincount(doc, minlength=n) - np.bincount(doc[first], minlength=n)
 
 
-def _verdicts(column: pa.Array, ref: References) -> dict[str, np.ndarray]:
+def _verdicts(column: pa.Array, langs: pa.Array, ref: References) -> dict[str, np.ndarray]:
     texts = Texts(column)
     start, end, doc = texts.spans(SPACE)
     n_words = np.bincount(doc, minlength=texts.n)
     plain = hashes(texts.bytes, start, end)
     repeat = repeated(plain, doc, texts.n)
     failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
-    if len(ref.chars):
-        by_char, by_word = _distances(texts, hashes(texts.lower_ascii(), start, end), doc, n_words, ref)
-        closest = np.maximum(by_char / MAX_CHAR_DISTANCE, by_word / MAX_WORD_DISTANCE).argmin(axis=1)
-        rows = np.arange(texts.n)
-        char_d, word_d = by_char[rows, closest], by_word[rows, closest]
-    else:
-        char_d = word_d = np.zeros(texts.n)
+    number = {x: k for k, x in enumerate(ref.langs)}
+    own = np.array([number.get(x, -1) for x in langs.to_pylist()], np.int64)
+    char_d, word_d = _distances(texts, hashes(texts.lower_ascii(), start, end), doc, n_words, own, ref)
     kept = ~failed & (char_d <= MAX_CHAR_DISTANCE) & (word_d <= MAX_WORD_DISTANCE)
     solid = ~SPACE[texts.bytes] & ((texts.bytes & 0xC0) != 0x80)
     return {
@@ -210,7 +213,7 @@ def _verdicts(column: pa.Array, ref: References) -> dict[str, np.ndarray]:
 def _judge(ref: References):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
-            found = _verdicts(batch.column(1), ref)
+            found = _verdicts(batch.column(1), batch.column(2), ref)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64() if x.dtype.kind in "iu" else None) for x in found.values()]], names=["doc_id", *found])
 
     return run
@@ -219,17 +222,19 @@ def _judge(ref: References):
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", ref: References | None = None) -> DataFrame:
     """One row for every row of docs, see COUNTS."""
     ref = ref or references(docs, text_col, lang_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_judge(ref), COUNTS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_judge(ref), COUNTS)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", ref: References | None = None) -> DataFrame:
     """The rows of docs that are kept, with all their columns and without a join."""
     ref = ref or references(docs, text_col, lang_col)
-    at = docs.columns.index(text_col)
+    text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(pa.RecordBatch.from_arrays([b.column(0).field(at), b.column(0)], names=["text", "row"]) for b in it):
-            yield pa.RecordBatch.from_arrays([batch.column(1)], names=["row"]).filter(pa.array(_verdicts(batch.column(0), ref)["kept"]))
+        parts = (pa.RecordBatch.from_arrays([b.column(0).field(text), b.column(0).field(lang).cast(pa.string()), b.column(0)], names=["text", "lang", "row"]) for b in it)
+        for batch in batches(parts):
+            kept = _verdicts(batch.column(0), batch.column(1), ref)["kept"]
+            yield pa.RecordBatch.from_arrays([batch.column(2)], names=["row"]).filter(pa.array(kept))
 
     rows = docs.select(whole_row(docs).alias("row"))
     return rows.mapInArrow(run, rows.schema).select(*row_columns(docs.columns))

@@ -154,12 +154,33 @@ def test_quality_verdict(spark):
     common = "the of and to in is it on that with".split()
     good = [" ".join(r.choice(common) if r.random() < 0.5 else f"word{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(150)) for _ in range(60)]
     junk = " ".join(f"{w}%%%###" for w in good[0].split())
-    df = spark.createDataFrame([(i, t, "en" if i % 5 else None) for i, t in enumerate([*good, junk])], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([(i, t, "en" if i % 5 or i == 60 else None) for i, t in enumerate([*good, junk])], "doc_id long, text string, lang string")
     kept = {x["doc_id"]: x["kept"] for x in quality.quality(df).collect()}
     assert not kept[60] and all(kept[i] for i in range(60))
     assert quality.keep_good(df).count() == 60 and quality.keep_good(df).columns == df.columns
 
 
+def test_further_rows_of_other_languages_cost_no_document_its_place(spark):
+    """Twelve clean documents of a rare language are kept beside however much English; one of a language without a reference is not judged by divergence."""
+    r = random.Random(4)
+
+    def prose(common, letters, n=250):
+        return " ".join(r.choice(common) if r.random() < 0.45 else "".join(r.choices(letters, k=r.randint(3, 9))) for _ in range(n)) + "."
+
+    russian = [(1000 + i, prose("и в не на что он как это по из".split(), "абвгдежзиклмнопрстуфхцчшя"), "ru") for i in range(12)]
+    rare = [(2000, prose("και το να με για".split(), "αβγδεζηθικλμνοπρστυφχψω"), "el")]
+    english = [(i, prose("the of and to in is it on that with".split(), "abcdefghijklmnoprstuvw"), "en") for i in range(40)]
+    verdicts = {}
+    for times in (1, 8):
+        rows = russian + rare + [(i + 100 * k, t, x) for k in range(times) for i, t, x in english]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        found = {x["doc_id"]: (x["kept"], x["char_distance"], x["word_distance"]) for x in quality.quality(df).where("doc_id >= 1000").collect()}
+        verdicts[times] = {i: found[i] for i in (*range(1000, 1012), 2000)}
+        assert all(v[0] for v in verdicts[times].values()) and verdicts[times][2000] == (True, 0.0, 0.0)
+        assert quality.keep_good(df).where("doc_id >= 1000").count() == 13
+    assert verdicts[1] == verdicts[8]
+
+
 def test_js_distance():
     p, q = np.array([[0.5, 0.5, 0.0], [1.0, 0.0, 0.0]]), np.array([0.0, 0.0, 1.0])
     assert quality.js_distance(p, q).tolist() == [1.0, 1.0] and quality.js_distance(p[1:], p[1]).tolist() == [0.0]
