@@ -47,6 +47,8 @@ FEW_PAIRS = 100
 #: Shingles before a row's own that it carries, so that a pair is made once and not at each common shingle; a pair without one among them is made more than once and then taken as one.
 BEFORE = 64
 SET_BITS = 1 << 24
+#: Bytes of texts whose shingles are hashed at once: some 60 bytes of work arrays for each.
+BATCH = 1 << 18
 #: A set that is in very many pairs is copied once for so many of them.
 PAIRS_PER_COPY = 64
 
@@ -99,7 +101,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(it):
+    for batch in batches(it, size=BATCH):
         sets = shingle_sets(Texts(batch.column(1)))
         keys, bands, n = [], [], []
         for s in sets:
@@ -119,7 +121,7 @@ def _describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(it):
+    for batch in batches(it, size=BATCH):
         sets = [s.tobytes() for s in shingle_sets(Texts(batch.column(1)))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 

@@ -39,6 +39,8 @@ MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.45
 #: Words from which on a language gives a reference; references that every document is compared with, and references in all (49 numbers each, sent to every task).
 REFERENCE_WORDS, MOST_COMPARED, MOST_REFERENCES = 2000, 50, 10_000
 COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
+#: Distinct words that a task adds up before it sends them; what it sorts at once stays small, as a Python worker keeps its memory through later stages.
+HELD = 400_000
 
 LINE = np.zeros(256, bool)
 LINE[10] = True
@@ -110,7 +112,7 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(ks) > 8:
                 k, n = merged(ks, ns)
                 held[lang][1:] = [k], [n]
-        if size > 1_500_000:
+        if size > HELD:
             yield from flush()
             size = 0
     yield from flush()
