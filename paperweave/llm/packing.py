@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_tokens import byte_tokens
-from .wordhash import batches
+from .wordhash import batches, give_back
 
 LENGTH, END = 1024, 0
 #: A block ends at so many rests or bytes of ids; its size bounds a task's memory.
@@ -117,6 +117,7 @@ def _encoded(it: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple]:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             yield doc, encode(text) + end
     byte_tokens(path).forget()  # the worker lives on and runs other stages
+    give_back()
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

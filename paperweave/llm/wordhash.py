@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -101,6 +103,14 @@ def windows(words: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray,
     return mix(h[at]), at
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, and would keep it through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def batches(batch_iter, rows: int = 2000, size: int = 1 << 20):
     """Slices of Arrow batches with at most `rows` rows and about `size` bytes of strings, so that the work arrays stay small; a longer text stands alone."""
     for batch in batch_iter:
@@ -112,3 +122,5 @@ def batches(batch_iter, rows: int = 2000, size: int = 1 << 20):
             stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + size, side="right"))))
             yield batch.slice(at, stop - at)
             at = stop
+        batch = None
+    give_back()
