@@ -151,6 +151,39 @@ def execute(claims: DataFrame, pages: DataFrame, most_pages: int, claim_chars: i
     return cut.select("plan_id", "claim_no", "document_id", "page_no", "rank", F.concat(F.col("claim_no").cast("string"), F.lit(":e"), F.col("rank").cast("string")).alias("evidence_id"), F.substring(text_of(F.col("text")), F.lit(1), left).alias("text"), (size > left).alias("truncated"))
 
 
+MOST_SCOPE = 8
+
+
+def execute_plans(claims: DataFrame, pages: DataFrame, most_pages: int, claim_chars: int, total_chars: int, kept: index.PageIndex | None = None) -> tuple[DataFrame, DataFrame]:
+    """One round of any number of plans whose claims depend on each other: what each claim shows, and (plan_id, claim_id, problem) of plans that cannot run.
+
+    claims: plan_id, claim_id, claim_no, depends_on, queries (arrays), document_ids (array; null or empty: all documents). All queries of all claims are
+    searched at once. A claim shows pages by the number of its queries they answer; with documents, of which the first eight
+    count, these take turns. Characters are given layer by layer, within a layer by claim_no: a fair share of what is left, of
+    which the rest rolls on. Plans with claims on or behind a cycle show nothing.
+    """
+    from ..plans import review
+
+    layer = review.layers(claims.select("plan_id", "claim_id", "depends_on"))
+    cyclic = layer.where("layer < 0")
+    placed = claims.join(layer, ["plan_id", "claim_id"]).join(cyclic.select("plan_id").distinct(), "plan_id", "left_anti")
+    named = F.filter(F.coalesce("document_ids", F.array().cast("array<string>")), lambda d: F.trim(text_of(d)) != "")
+    scoped = placed.withColumn("_scope", F.slice(F.array_distinct(F.transform(named, lambda d: F.trim(d))), 1, MOST_SCOPE))
+    asked = scoped.select("plan_id", "claim_id", "_scope", F.posexplode("queries").alias("_pos", "query")).withColumn("query_id", F.concat_ws("#", "plan_id", "claim_id", "_pos"))
+    hits = _word_hits(pages, asked.select("query_id", "query"), kept).join(asked.select("query_id", "plan_id", "claim_id", "_scope"), "query_id")
+    turn = F.array_position("_scope", F.col("document_id"))
+    hits = hits.where((F.size("_scope") == 0) | (turn > 0)).groupBy("plan_id", "claim_id", "document_id", "page_no").agg(F.count("*").alias("n_queries"), F.max(turn).alias("_turn"))
+    shown = evidence.interleave(hits, ["plan_id", "claim_id"], [F.desc("n_queries"), F.col("document_id"), F.col("page_no")], "_turn").where(F.col("place") <= most_pages)
+    wide = shown.join(pages.select("document_id", "page_no", text_of(F.col("text")).alias("text")), ["document_id", "page_no"])
+    need = wide.groupBy("plan_id", "claim_id").agg(F.sum(F.length("text")).alias("need"))
+    needs = scoped.select("plan_id", "claim_id", "layer", "claim_no").join(need, ["plan_id", "claim_id"], "left").na.fill(0, ["need"])
+    granted = review.fair_share(needs, total_chars, claim_chars, ["plan_id"], ["layer", "claim_no", "claim_id"], "need").select("plan_id", "claim_id", "layer", "granted")
+    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("plan_id", "claim_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    items = wide.withColumn("_before", before).join(granted, ["plan_id", "claim_id"]).withColumn("_left", (F.col("granted") - F.col("_before")).cast("int")).where("_left > 0")
+    out = items.select("plan_id", "claim_id", "layer", "document_id", "page_no", "place", "n_queries", F.concat(F.col("claim_id"), F.lit(":e"), F.col("place").cast("string")).alias("evidence_id"), F.substring("text", F.lit(1), F.col("_left")).alias("text"), (F.length("text") > F.col("_left")).alias("truncated"))
+    return out, cyclic.select("plan_id", "claim_id", F.lit("dependency cycle").alias("problem"))
+
+
 def review_problems(reviews: DataFrame, registry: DataFrame) -> DataFrame:
     """(plan_id, claim_id, problem): repeated, unexpected and missing claims, unknown statuses, evidence ids that the claim was never given, and sufficient claims without evidence. reviews: plan_id, claim_id, status, evidence_ids; registry: plan_id, claim_id, evidence_ids."""
     expected = registry.select("plan_id", "claim_id", F.col("evidence_ids").alias("_given"))

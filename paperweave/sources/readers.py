@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +105,35 @@ def statements(parts: dict[str, DataFrame], asked: str) -> DataFrame:
             named = rows.select(F.lit(name).alias("statement"), "*")
             out = named if out is None else out.unionByName(named, allowMissingColumns=True)
     return out
+
+
+# --- paged text files and the tables in their pages -----------------------------------------------------------------------
+def paged_files(spark: SparkSession, path: str, pages: list[int] | None = None, pattern: str = "*.txt") -> DataFrame:
+    """(document_id, page_no, text, status, error): text files whose pages end in form feeds, as page extractors write them.
+
+    The document is the file, by its path below `path`. Only the pages asked for are made rows; without a list, all. A file that is
+    no UTF-8 gives one row with status failed, instead of being lost or read with wrong letters; an empty one has no pages.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    body, good = F.col("content").cast("string"), F.is_valid_utf8(F.col("content").cast("string"))
+    cut = F.split(F.when(good, F.regexp_replace(body, "\f$", "")), "\f")
+    numbered = F.transform(cut, lambda t, i: F.struct((i + 1).cast("long").alias("page_no"), t.alias("text"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error")))
+    if pages is not None:
+        numbered = F.filter(numbered, lambda p: p["page_no"].isin(pages))
+    failed = F.array(F.struct(F.lit(None).cast("long").alias("page_no"), F.lit(None).cast("string").alias("text"), F.lit("failed").alias("status"), F.lit("not UTF-8").alias("error")))
+    rows = F.when(~good, failed).when(F.length("content") > 0, numbered)
+    root = path.split(":")[-1].rstrip("/")
+    name = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root) + "/", "")
+    return files.select(name.alias("document_id"), F.explode(rows).alias("p")).select("document_id", "p.*")
+
+
+def text_tables(pages: DataFrame, keys: tuple[str, ...] = ("document_id", "page_no"), mark: str = "|") -> DataFrame:
+    """(keys, table_index, cells): the tables of each page, two or more lines in a row whose cells are parted by `mark`. cells is an array of rows; a mark at either end of a line parts nothing."""
+    lines = pages.select(*keys, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("_at", "_line")).where(F.col("_line").contains(mark))
+    bare = F.regexp_replace("_line", rf"^\s*{re.escape(mark)}|{re.escape(mark)}\s*$", "")
+    cells = F.transform(F.split(bare, re.escape(mark)), lambda c: F.trim(c))
+    run = F.col("_at") - F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))
+    rows = lines.select(*keys, "_at", cells.alias("_cells"), run.alias("_run"))
+    tables = rows.groupBy(*keys, "_run").agg(F.min("_at").alias("_first"), F.sort_array(F.collect_list(F.struct("_at", "_cells"))).alias("_rows")).where(F.size("_rows") >= 2)
+    index = F.row_number().over(Window.partitionBy(*keys).orderBy("_first"))
+    return tables.select(*keys, index.alias("table_index"), F.transform("_rows", lambda r: r["_cells"]).alias("cells"))
