@@ -72,11 +72,10 @@ def filing_nullsafe_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.replace_null_safe(r.where("event_type <> 'purchase'"), r.where("event_type = 'purchase'"), ["symbol", "title"])
 
 
-@register("""SELECT md5(text) AS digest, count(*) AS n, min(n_chars) AS n_chars, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members FROM documents GROUP BY md5(text) HAVING count(*) > 1""")
+@register("""SELECT doc_id, md5(text) AS digest, count(*) OVER w AS n, min(doc_id) OVER w AS first FROM documents WINDOW w AS (PARTITION BY md5(text)) QUALIFY n > 1""")
 def duplicate_groups_size_then_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    out = lifecycle.duplicates(docs, "text", F.md5("text"), "doc_id", "n_chars")
-    return out.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    """Each member of a group of equal texts, with the group's size and first member: groups may be of any size."""
+    return lifecycle.duplicate_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", F.md5("text"), "doc_id")
 
 
 @register("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels UNION SELECT conv_id FROM conversations)")

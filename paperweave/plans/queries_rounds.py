@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import batches, candidates, cleanup, packets
-from ..session import shared_dir, unwrite, written
-from ..sources import artifacts, readers
+from ..session import shared_dir
+from ..sources import artifacts, readers, writers
 from ..streaming import events, reviews
-from .queries_search import LINES, TURNS, kept_turns, lines, table, turns, word_sql
+from .queries_search import TURNS, kept_turns, table, turns, word_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -242,3 +243,37 @@ def table_artifacts_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     name = F.element_at(F.split(F.input_file_name(), "/"), -2)
     return back.select(name.alias("document_id"), "row_count", "column_count", F.sha2(F.array_join(F.transform("raw_rows", lambda r: F.array_join(r, "\t")), "\n"), 256).alias("digest"))
+
+
+@register("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('hour', ts) < date_trunc('hour', (SELECT max(ts) FROM events) - INTERVAL 1 DAY) GROUP BY ALL""")
+def windowed_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts by type of the events stream, as far as the watermark, a day behind the last event, has closed the windows."""
+    base = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    events.run_once(events.windowed_counts(events.read_events(spark, sf_dir)), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@register("""SELECT CAST(doc_id AS VARCHAR) AS symbol, source, sha256(coalesce(text, '')) AS digest, lang AS market FROM documents""")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as JSON lines and read back with the stated schema of filings."""
+    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    writers.jsonl(table(spark, sf_dir, "documents").select(F.col("lang").alias("market"), F.col("doc_id").cast("string").alias("symbol"), F.coalesce("text", F.lit("")).alias("title"), "source"), path)
+    return readers.jsonl(spark, path, readers.FILING_SCHEMA).select("symbol", "source", F.sha2("title", 256).alias("digest"), "market")
+
+
+@register("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '2018-' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') END AS day, CASE WHEN page_id % 3 = 0 THEN 'LTN' || page_id ELSE CAST(page_id AS VARCHAR) END AS sequence,
+    CASE WHEN page_id % 3 <> 0 THEN 'http://x.org/' || lpad(CAST(page_id + 1 AS VARCHAR), CAST(length(CAST(page_id AS VARCHAR)) AS INTEGER), '0') || '_c.pdf' END AS twin FROM pages WHERE length(CAST(page_id AS VARCHAR)) = length(CAST(page_id + 1 AS VARCHAR)) OR page_id % 3 = 0""")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Date, number and Chinese twin of addresses made from page ids; a twin has as many digits as its pair, so numbers of nines are left out."""
+    k = F.col("page_id")
+    dated = F.concat(F.lit("http://x.org/2018/"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit("/LTN"), k.cast("string"), F.lit(".pdf"))
+    rows = table(spark, sf_dir, "pages").where((F.length(k.cast("string")) == F.length((k + 1).cast("string"))) | (k % 3 == 0)).select("page_id", F.when(k % 3 == 0, dated).otherwise(F.concat(F.lit("http://x.org/"), k.cast("string"), F.lit(".pdf"))).alias("url"))
+    return rows.select("page_id", text.date_of_url(F.col("url")).alias("day"), text.sequence_of_url(F.col("url")).alias("sequence"), text.chinese_twin_url(F.col("url")).alias("twin"))
+
+
+@register("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN CAST(p_size * 1024 AS BIGINT) WHEN 1 THEN CAST((p_size + 0.5) * 1048576 AS BIGINT) WHEN 2 THEN CAST(p_size AS BIGINT) * 1073741824 END AS bytes FROM part""")
+def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of labels in kilo-, mega- and gigabytes; null for what is no size."""
+    n = F.col("p_size").cast("string")
+    label = F.when(F.col("p_size") % 4 == 0, F.concat(n, F.lit(" kb"))).when(F.col("p_size") % 4 == 1, F.concat(n, F.lit(".5MB"))).when(F.col("p_size") % 4 == 2, F.concat(n, F.lit("  GB"))).otherwise(F.lit("unknown"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.file_size_of_label(label).alias("bytes"))

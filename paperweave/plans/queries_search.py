@@ -284,3 +284,16 @@ def _sections_sql(sections: dict) -> str:
 def section_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = documents.completeness(lines(spark, sf_dir), "prospectus")
     return out.select("document_id", "page_count", "extracted_chars", joined("matched_sections"), "status")
+
+
+@register(rf"""WITH {LINES}, b AS (SELECT document_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n, lower(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM pages),
+    s AS (SELECT document_id, n, list_filter([{_sections_sql(documents.ANNUAL_SECTIONS)}], lambda x: x IS NOT NULL) AS s FROM b),
+    g AS (SELECT document_id, count(*) AS page_count, sum(n) AS chars, list_sort(list_distinct(flatten(list(s)))) AS m FROM s GROUP BY document_id)
+    SELECT document_id, page_count, CAST(chars AS BIGINT) AS extracted_chars, array_to_string(m, '|') AS matched_sections,
+        CASE WHEN page_count <= 5 THEN 'rejected_short_document' WHEN page_count < 30 THEN 'needs_review_too_few_pages'
+             WHEN list_has_all(m, ['auditor_report', 'notes', 'financial_position', 'profit_or_loss']) THEN 'complete'
+             WHEN page_count >= 60 AND chars < page_count * 100 THEN 'needs_ocr' ELSE 'needs_review_missing_sections' END AS status FROM g""")
+def section_completeness_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for annual reports."""
+    out = documents.completeness(lines(spark, sf_dir), "annual_report")
+    return out.select("document_id", "page_count", "extracted_chars", joined("matched_sections"), "status")
