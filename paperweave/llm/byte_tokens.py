@@ -19,6 +19,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from .bpe import LONG_UNIT, Recent, byte_letters
+from .wordhash import give_back
 
 #: Fixed value: the piece pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,7 +28,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LIBRARY = re.compile("[^\x00-ɏ]|<\\|")
 
 
-UNITS = 125_000
+UNITS = 80_000
 
 
 class ByteTokens:
@@ -37,6 +38,8 @@ class ByteTokens:
         ranks = {bytes(byte_of[c] for c in s): i for s, i in spec["model"]["vocab"].items()}
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.library = Tokenizer.from_file(path)
+        del spec, byte_of, ranks
+        give_back()  # what reading the vocabulary took
         self.units = Recent(UNITS)  # smaller than that of the other encoder: a worker keeps it while it runs other stages
 
     def forget(self) -> None:
