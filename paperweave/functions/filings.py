@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +27,13 @@ H_SHARE = ("h股公告", "港股公告", "h-share announcement")
 NO_REPORT = ("summary", "摘要", "notice of publication", "notification", "reply form", "form of proxy", "overseas regulatory announcement", "海外監管公告")
 A_PROSPECTUS = ("招股说明书", "招股意向书", "上市公告书", "首发")
 DIGITS = ("0123456789", "零一二三四五六七八九")
+# What the title of an annual report looks like. @ stands for its year, in digits or as it is spoken.
+YEAR_BESIDE_REPORT = (r"\b@\s+ANNUAL\s+REPORT\b", r"\bANNUAL\s+REPORT(?:\s+AND\s+ACCOUNTS)?\s+@\b")
+ONLY_YEAR_AND_REPORT = (r"^(?:fiscal year )?@ annual report(?: and accounts)?(?:\s*\([^)]*\))?$", r"^annual report(?: and accounts)? @(?:\s*\([^)]*\))?$")
+ONLY_CHINESE_YEAR_AND_REPORT = "^(?:@)(?:年年報|年報|年度報告)$"
+CHINESE_REPORT, CHINESE_INTERIM = ("年報", "年度報告"), ("中期", "半年度", "季度")
+ANY_YEAR, ANY_SPOKEN_YEAR = "(?:19|20)[0-9]{2}", "[二〇零一二三四五六七八九]{4}"
+LEAST_REPORT_BYTES = 1 << 20
 
 
 def one_line(c: Column) -> Column:
@@ -86,28 +90,33 @@ def spoken_years(year: Column) -> list[Column]:
     return [digits, spoken, F.replace(spoken, F.lit("零"), F.lit("〇"))]
 
 
+def title_forms(title: Column) -> dict[str, Column]:
+    """A title as the rules read it: on one line in lower case, in capitals, and without white space."""
+    up = F.upper(text_of(title))
+    return {"line": one_line(title), "capitals": up, "tight": F.regexp_replace(up, r"\s+", "")}
+
+
+def names_year(form: Column, patterns: tuple[str, ...], year: Column) -> Column:
+    """Whether one of the patterns is found, with the year of the row in place of @."""
+    return F.greatest(*[F.regexp_like(form, F.replace(F.lit(p), F.lit("@"), year)) for p in patterns])
+
+
 def is_annual_report_of(title: Column, year: Column) -> Column:
     """An English title with year and annual report side by side, or a Chinese one with both and no interim mark."""
-    up, digits = F.upper(text_of(title)), year.cast("string")
-    english = F.regexp_like(up, F.concat(F.lit(r"\b"), digits, F.lit(r"\s+ANNUAL\s+REPORT\b"))) | F.regexp_like(up, F.concat(F.lit(r"\bANNUAL\s+REPORT(?:\s+AND\s+ACCOUNTS)?\s+"), digits, F.lit(r"\b")))
-    tight = F.regexp_replace(up, r"\s+", "")
-    spoken = F.lit(False)
-    for y in spoken_years(year):
-        spoken = spoken | tight.contains(y)
-    chinese = spoken & contains_any(tight, ("年報", "年度報告")) & ~contains_any(tight, ("中期", "半年度", "季度"))
-    return (up.contains("ANNUAL") & up.contains(digits) & english) | chinese
+    form = title_forms(title)
+    chinese = F.greatest(*[form["tight"].contains(y) for y in spoken_years(year)]) & contains_any(form["tight"], CHINESE_REPORT) & ~contains_any(form["tight"], CHINESE_INTERIM)
+    return names_year(form["capitals"], YEAR_BESIDE_REPORT, year.cast("string")) | chinese
 
 
 def is_sure_annual_report(title: Column, size_label: Column, lang: str, year: int | None = None) -> Column:
-    """At least 1 MB, no word of other documents, and nothing in the title but year and annual report."""
-    low, size = one_line(title), file_size_of_label(size_label)
-    y = str(year) if year is not None else r"(?:19|20)\d{2}"
+    """Large enough, no word of other documents, and nothing in the title but year and annual report."""
+    form = title_forms(title)
     if lang.upper().startswith("EN"):
-        exact = low.rlike(rf"^(?:fiscal year )?{y} annual report(?: and accounts)?(?:\s*\([^)]*\))?$|^annual report(?: and accounts)? {y}(?:\s*\([^)]*\))?$")
+        bare = names_year(form["line"], ONLY_YEAR_AND_REPORT, F.lit(ANY_YEAR if year is None else str(year)))
     else:
-        spoken = str(year).translate(str.maketrans(*DIGITS)) if year is not None else "[二〇零一二三四五六七八九]{4}"
-        exact = F.regexp_replace(text_of(title), r"\s+", "").rlike(rf"^(?:{y}|{spoken}|{spoken.replace('零', '〇')})(?:年年報|年報|年度報告)$")
-    return F.coalesce(size >= 1 << 20, F.lit(False)) & ~contains_any(low, NO_REPORT) & exact
+        spoken = [ANY_YEAR, ANY_SPOKEN_YEAR] if year is None else spoken_years(F.lit(year))
+        bare = names_year(F.regexp_replace(text_of(title), r"\s+", ""), (ONLY_CHINESE_YEAR_AND_REPORT,), F.concat_ws("|", *[x if isinstance(x, Column) else F.lit(x) for x in spoken]))
+    return F.coalesce(file_size_of_label(size_label) >= LEAST_REPORT_BYTES, F.lit(False)) & ~contains_any(form["line"], NO_REPORT) & bare
 
 
 def prospectus_rank(category: Column, kind: Column, pdf_url: Column) -> Column:
@@ -165,14 +174,9 @@ def cache_key(provider: Column, interface: Column, params: Column) -> Column:
 
 
 def byte_prefix(text: Column, most: int) -> Column:
-    """As many whole letters as fit into `most` bytes of UTF-8; shorter texts stay in the JVM."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda x: x.encode()[:most].decode(errors="ignore"), na_action="ignore")
-
-    # No more letters than bytes can be in it, so only those go to Python.
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.pandas_udf(run, "string")(F.when(F.octet_length(text) > most, F.left(text, F.lit(most)))))
+    """As many whole letters as fit into `most` bytes of UTF-8. A letter has four bytes at most, so one of four cuts is between letters."""
+    cut = lambda n: F.try_validate_utf8(F.substring(text.cast("binary"), 1, n).cast("string"))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*[cut(most - k) for k in range(min(4, most + 1))]))
 
 
 def iso_date(c: Column) -> Column:
