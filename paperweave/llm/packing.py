@@ -24,7 +24,7 @@ from .byte_tokens import byte_tokens
 from .wordhash import batches, give_back
 
 LENGTH, END = 1024, 0
-#: A block ends at so many rests or bytes of ids; its size bounds a task's memory. Some 12,000 rests fit each other nearly as well as all would: under one part in a thousand is padding.
+#: A block ends at so many rests or bytes of ids; its size bounds a task's memory. Some 12,000 rests fit each other nearly as well as all would: some three parts in a thousand are padding.
 BLOCK_ROWS, BLOCK_BYTES = 60_000, 24 << 20
 #: Pieces (4 KB at most) in one Arrow batch.
 SENT = 1000
