@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,13 +101,13 @@ def title_forms(title: Column) -> dict[str, Column]:
 
 def names_year(form: Column, patterns: tuple[str, ...], year: Column) -> Column:
     """Whether one of the patterns is found, with the year of the row in place of @."""
-    return F.greatest(*[F.regexp_like(form, F.replace(F.lit(p), F.lit("@"), year)) for p in patterns])
+    return reduce(or_, [F.regexp_like(form, F.replace(F.lit(p), F.lit("@"), year)) for p in patterns])
 
 
 def is_annual_report_of(title: Column, year: Column) -> Column:
     """An English title with year and annual report side by side, or a Chinese one with both and no interim mark."""
     form = title_forms(title)
-    chinese = F.greatest(*[form["tight"].contains(y) for y in spoken_years(year)]) & contains_any(form["tight"], CHINESE_REPORT) & ~contains_any(form["tight"], CHINESE_INTERIM)
+    chinese = reduce(or_, [form["tight"].contains(y) for y in spoken_years(year)]) & contains_any(form["tight"], CHINESE_REPORT) & ~contains_any(form["tight"], CHINESE_INTERIM)
     return names_year(form["capitals"], YEAR_BESIDE_REPORT, year.cast("string")) | chinese
 
 
