@@ -9,7 +9,9 @@ Bands of ROWS coordinates give candidate groups. No group is ever expanded into
 
 1. documents with identical shingle sets become one class, represented by its smallest id;
 2. every band group is compared with its smallest representative only (a star, linear in the group);
-3. groups whose members other than that one then still lie in different components are compared across components: all cross pairs where
+3. large groups that then still lie in different components: whoever is outside a group's largest component is compared with one member of
+   that, another one for each band (linear again), and components are cut anew, for as long as a round takes a quarter off the pairs across components;
+4. what still lies in different components is compared across them: all cross pairs where
    those are few, otherwise by an exact prefix join on the shingles that are rarest among the members concerned. FEW_PAIRS only
    chooses between two exact ways. A family whose members share much, yet less than the threshold, has its rarest shingles
    in no other member, and what is left of a set after its first shared shingle is then too short for a link: such rows do
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MOST_HEAVY, discard, join_heavy, materialize, may_survive, survivor_bits
@@ -188,6 +190,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+def _heads(members: DataFrame) -> DataFrame:
+    """(band, head, head_comp, n, cross) of the groups with more than FEW_PAIRS pairs across components: a member of the largest component, picked by a hash so that bands with the same members pick different ones. members: band, rep, comp."""
+    by_comp = members.groupBy("band", "comp").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "band")).alias("head"))
+    groups = by_comp.groupBy("band").agg(F.max(F.struct("n", "comp", "head")).alias("top"), F.sum("n").alias("n"), ((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", F.lit(2)))) / 2).alias("cross"))
+    return groups.where(F.col("cross") > FEW_PAIRS).select("band", F.col("top.head").alias("head"), F.col("top.comp").alias("head_comp"), "n", "cross")
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs across components that share a band but were not compared with each other. members: band, rep, comp."""
     by_comp = members.groupBy("band", "comp").agg(F.count("*").alias("n"))
@@ -251,16 +264,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A repeated id would make its pairs repeat, never lose one.
     sets = materialize(wanted.select("rep", "text").mapInArrow(_set_rows, "rep long, shingles binary"), "shingles")
 
-    links = materialize(verify(star, sets), "links")
-    comp = components(reps, links)
-    # The lead of a band has been compared with all its members.
-    pending = materialize(members.where("rep <> lead").select("band", "rep").join(comp, "rep"), "pending")
-    rest = materialize(_rest(pending, sets), "rest")
+    links, tried = materialize(verify(star, sets), "links"), star
+    made, comp = [groups, members, star, reps, sets, links], components(reps, links)
+    others = members.where("rep <> lead").select("band", "rep")  # the lead of a band has been compared with all its members
+    before = float("inf")
+    while True:
+        pending = materialize(others.join(comp, "rep"), "pending")
+        heads = materialize(_heads(pending), "heads")
+        cross, rows = heads.agg(F.coalesce(F.sum("cross"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if not cross or 4 * cross > 3 * before:
+            break
+        before = cross
+        asked = join_heavy(pending, heads.drop("cross"), "band", "n", rows).where("comp <> head_comp").select(*_pair("rep", "head")).distinct()
+        asked = materialize(asked.join(tried, ["a", "b"], "left_anti"), "asked")
+        more = materialize(verify(asked, sets), "links")
+        made += [asked, more]
+        tried, links = tried.unionByName(asked), links.unionByName(more)
+        discard(pending, heads)
+        old, comp = comp, components(reps, links)
+        discard(old)
+    rest = materialize(_rest(pending, sets).join(tried, ["a", "b"], "left_anti"), "rest")
     more = materialize(verify(rest, sets), "links")
     if not more.isEmpty():
         old, comp = comp, components(reps, links.unionByName(more))
         discard(old)
-    discard(groups, members, star, reps, sets, links, pending, rest, more)
+    discard(*made, pending, heads, rest, more)
 
     of_class = classes.select("set_key", "rep", "n").join(comp, "rep", "left").select("set_key", "n", F.coalesce("comp", "rep").alias("comp"))
     alone = described.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

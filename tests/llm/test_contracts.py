@@ -106,6 +106,26 @@ def test_families_just_below_the_threshold_make_no_pairs(spark):
     assert near_dedup._prefix_pairs(df.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp")), sets).count() == 0
 
 
+def test_families_about_the_threshold_lose_no_link_and_are_not_expanded(spark, monkeypatch):
+    """Members that each leave out another random part of one text: a quarter of their pairs are links, most others come close. Components are those of all pairs, with a quarter of all pairs compared at most."""
+    asked, verify = [], near_dedup.verify
+    monkeypatch.setattr(near_dedup, "verify", lambda pairs, sets: asked.append(pairs.count()) or verify(pairs, sets))
+    r, n = np.random.default_rng(5), 400
+    core = np.array([f"c{i}" for i in range(400)])
+    texts = [" ".join(np.concatenate([b for b in np.split(core, 80) if r.random() > 0.075])) for _ in range(n)]
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    least = list(range(n))
+    for a in range(n):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and least[a] != least[b]:
+                lo, hi = sorted((least[a], least[b]))
+                least = [lo if c == hi else c for c in least]
+    assert got == dict(enumerate(least))
+    assert len(asked) >= 3 and sum(asked) < n * (n - 1) / 2 / 4, asked
+
+
 def test_recall_of_the_bands():
     """Pairs at or just above the threshold share a band; 40 bands of 5 rows miss 2 in 100,000."""
     r = np.random.default_rng(3)
