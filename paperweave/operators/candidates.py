@@ -50,7 +50,7 @@ def tryable(url: Column, document_type: Column) -> Column:
 def locate(candidates: DataFrame, validate: Callable[[DataFrame], DataFrame], kept: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Accepted candidates (request_id, candidate_id, round), all attempts (see ATTEMPT), and the validations to keep (MEMO, complete, passed).
 
-    candidates: request_id, candidate_id, rank (1 first; ties by candidate_id), problem (null, or why it is no real candidate), and MEMO. validate
+    candidates: request_id, candidate_id, rank (of any type with an order, least first; ties by candidate_id), problem (null, or why it is no real candidate), and MEMO. validate
     takes distinct rows of MEMO and returns them with complete and passed (booleans). A candidate is accepted if both hold. Of
     the kept validations only those with both are used again; others are made anew.
     """
