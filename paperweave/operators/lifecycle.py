@@ -51,10 +51,10 @@ def merge_sources(seen: DataFrame, key: str, time: str, keep_first: list[str], k
 
 
 def freshness(now: Column, fetched: Column, expires: Column, max_age_seconds: int | None = None) -> Column:
-    """hit or stale."""
+    """hit or stale; ages count with their parts of a second."""
     stale = now > expires
     if max_age_seconds is not None:
-        stale = stale | (F.timestamp_diff("SECOND", fetched, now) > max_age_seconds)
+        stale = stale | (now > fetched + F.make_dt_interval(secs=F.lit(max_age_seconds).cast("decimal(18,6)")))
     return F.when(stale, "stale").otherwise("hit")
 
 
