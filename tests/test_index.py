@@ -162,3 +162,27 @@ def test_an_empty_index(spark, tmp_path):
     assert index.substring_hits(none, [("a", "w1x")]).count() == 0
     assert index.bm25(none, asked, 3).count() == 0
     assert index.grammar_hits(none, [("a", '"w1 w2"')])[0].count() == 0
+
+
+def test_files_and_blocks_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    """No task sorts more than its part of the texts: twice the texts are twice the files."""
+    monkeypatch.setattr(index, "PART", 200)
+    monkeypatch.setattr(index, "BLOCK", 100)
+    shapes = []
+    for docs in (200, 400):
+        pages = spark.createDataFrame([(f"d{i}", 1, "x" * 40) for i in range(docs)], SCHEMA)
+        shapes.append(index._shape(pages, 8, None, None))
+    assert shapes == [{"buckets": 8, "blocks": 64, "files": 5}, {"buckets": 8, "blocks": 64, "files": 10}]
+    kept = index.update(spark, str(tmp_path / "a"), pages, buckets=1)
+    assert kept.shape == {"buckets": 1, "blocks": 160, "files": 80}
+    assert sum(len(f) for f in files(kept).values()) > 60
+    assert index.term_hits(kept, [("t", "XXX")]).count() == 400
+
+
+def test_trigrams_of_blocks_as_of_texts(spark, kept, pages):
+    odd = spark.createDataFrame([("a", 1, "x\x00\x00y"), ("b", 1, "\U0001f600ab\nc"), ("c", 1, "İstanbul ß"), ("d", 1, None), ("e", 1, "ab")], SCHEMA)
+    from paperweave.functions.text import text_of
+
+    for some in (odd, pages):
+        made = some.select(F.lit(3).alias("block"), F.lower(text_of(F.col("text"))).alias("_low")).mapInArrow(index._grams, "block int, gram string").distinct()
+        assert rows(made) == rows(some.select(F.lit(3), F.explode(search.trigrams(F.col("text")))).distinct())
