@@ -185,4 +185,11 @@ def test_trigrams_of_blocks_as_of_texts(spark, kept, pages):
 
     for some in (odd, pages):
         made = some.select(F.lit(3).alias("block"), F.lower(text_of(F.col("text"))).alias("_low")).mapInArrow(index._grams, "block int, gram string").distinct()
-        assert rows(made) == rows(some.select(F.lit(3), F.explode(search.trigrams(F.col("text")))).distinct())
+        low = [r[0] for r in some.select(F.lower(text_of(F.col("text")))).collect()]
+        assert rows(made) == sorted({(3, x[i : i + 3]) for x in low for i in range(len(x) - 2)}, key=str)
+
+
+def test_terms_beyond_the_basic_plane_are_found(spark, tmp_path):
+    """A letter of two code units is one of a trigram's three."""
+    kept = index.update(spark, str(tmp_path / "a"), spark.createDataFrame([("a", 1, "x \U0001f600AB y"), ("b", 1, "ab")], SCHEMA), buckets=1)
+    assert rows(index.term_hits(kept, [("t", "\U0001f600ab")]).drop("text")) == [("t", "a", 1)]
