@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from statistics import median
 
 import pandas as pd
@@ -163,32 +164,40 @@ def disposition(complete: Column, passed: Column, trusted: Column) -> Column:
 HEADER_WORDS = ("item", "name", "date", "period", "amount", "total", "项目", "科目", "名称", "日期", "期间", "金额", "单位", "合计", "本期", "上期", "期末", "期初")
 _NUMBER = r"^\(?[-+]?\s*(?:[$¥￥€£]\s*)?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?\)?$"
 _YEAR = r"^(?:19|20)\d{2}(?:年|年度)?$"
+_NUMBER_CELL, _YEAR_CELL = re.compile(_NUMBER), re.compile(_YEAR)
 STRUCTURE = "header_depth int, confidence double, column_paths array<array<string>>, row_count int, column_count int, quality_flags array<string>"
 
 
+@lru_cache(maxsize=65536)
+def _cell(text: str) -> tuple[bool, bool]:
+    """Whether a cell is a number that is no year, and whether it has a word of headers."""
+    return not _YEAR_CELL.match(text) and bool(_NUMBER_CELL.match(text)), any(w in text.lower() for w in HEADER_WORDS)
+
+
 def table_structure(rows: list[list[str | None]]) -> tuple:
     """Depth of the header (1 to 3 rows; 0 where unsure), its confidence, the label path of each column, sizes and flags."""
-    import re
-
     blank = lambda x: x is None or not str(x).strip()
-    number = lambda x: not blank(x) and not re.match(_YEAR, str(x).strip()) and bool(re.match(_NUMBER, str(x).strip()))
     width = max((len(r) for r in rows), default=0)
     if not width:
         return 0, 0.0, [], len(rows), 0, ["empty_table"]
     flags = [name for name, yes in (("ragged_rows", any(len(r) != width for r in rows)), ("contains_null_cells", any(c is None for r in rows for c in r)), ("blank_rows", any(all(map(blank, r)) for r in rows))) if yes]
 
+    # Each cell that a header can depend on is tested once: (number, header word, blank) of the first three rows and the five below.
+    seen = [[(False, False, True) if blank(c) else (*_cell(str(c).strip()), False) for c in r] for r in rows[:8]]
+
     def share(cells: list, test) -> float:
-        full = [c for c in cells if not blank(c)]
+        full = [c for c in cells if not c[2]]
         return sum(map(test, full)) / len(full) if full else 0.0
 
+    number = lambda c: c[0]
     best = (0.0, 0)
     for depth in range(1, min(3, len(rows) - 1) + 1):
-        head = [c for r in rows[:depth] for c in r]
-        body = [share(r, number) for r in rows[depth : depth + 5]]
-        words = share(head, lambda c: any(w in str(c).strip().lower() for w in HEADER_WORDS))
+        head = [c for r in seen[:depth] for c in r]
+        body = [share(r, number) for r in seen[depth : depth + 5]]
+        words = share(head, lambda c: c[1])
         boundary = max(0.0, body[0] - share(head, number))
-        merged = min(1.0, sum(map(blank, head)) / (depth * width))
-        labels = share(head, lambda c: not number(c))
+        merged = min(1.0, sum(c[2] for c in head) / (depth * width))
+        labels = share(head, lambda c: not c[0])
         best = max(best, (min(1.0, 0.55 * boundary + 0.2 * labels + 0.15 * min(1.0, 3 * words) + 0.05 * median(body) + 0.05 * merged), depth))
     confidence, depth = round(best[0], 3), best[1]
     if confidence < 0.6:

@@ -331,3 +331,12 @@ def test_expansion_moves_and_sorts_nothing(spark):
         found.setdefault(r["question_id"], []).append((r["pos"], r["query"]))
     assert found["a"][:2] == [(0, "Revenue Recognition"), (2, "收入确认")] and "b" not in found and found["c"][0] == (1, "revenue recognition")
     assert all(len({q.lower() for _, q in qs}) == len(qs) for qs in found.values())
+
+
+def test_a_cell_of_a_table_is_tested_once(monkeypatch):
+    from paperweave.operators import documents
+
+    asked = []
+    monkeypatch.setattr(documents, "_cell", lambda t: asked.append(t) or (t.isdigit(), not t.isdigit()))
+    documents.table_structure([["item", "total"], *[[str(i), str(100 + i)] for i in range(50)]])
+    assert len(asked) == len(set(asked)) == 16
