@@ -174,6 +174,22 @@ def test_results_feed_later_calculations_of_their_own_set(spark):
     assert found["a", "lost"]["status"] == "invalid" == found["a", "me"]["status"]
 
 
+def test_a_chain_of_calculations_takes_no_tables_by_layer(spark, monkeypatch):
+    made, written = [], calculations.written
+    monkeypatch.setattr(calculations, "written", lambda df, name: made.append(name) or written(df, name))
+    first = ("c0", "x", None, None, [], [{"name": "x", "value": "1", "source_type": "assumption"}])
+    chain = [(f"c{i}", "x + 1", str(i + 1), None, [], [{"name": "x", "source_type": "calculation", "calculation_id": f"c{i - 1}"}]) for i in range(1, 8)]
+    found = verify(spark, [(s, c) for s in "ab" for c in [first, *chain]], {})
+    assert {found[s, f"c{i}"]["calculated"] for s in "ab" for i in range(1, 8)} == set("2345678") and len(made) <= 2
+    assert found["b", "c7"]["status"] == "verified" and len(found) == 16
+
+
+def test_a_calculation_without_a_set_is_invalid_and_not_lost(spark):
+    v = {"name": "x", "value": "1", "source_type": "assumption"}
+    found = verify(spark, [(None, ("c", "x", None, None, [], [v])), ("a", ("c", "x", None, None, [], [v]))], {})
+    assert found[None, "c"]["status"] == "invalid" and found["a", "c"]["status"] == "calculated"
+
+
 def test_conflicts(spark):
     facts = [("c", "revenue", "2025", "rmb", "group", "123456", "e1"), ("c", "Revenue", "2025", "RMB", "group", "123455", "e2"), ("d", "revenue", "2025", "rmb", "group", "1", "e1"), ("d", "revenue", "2024", "rmb", "group", "2", "e2")]
     df = spark.createDataFrame(facts, "claim_id string, fact_key string, period string, unit string, scope string, value string, evidence_id string")
