@@ -190,11 +190,16 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+def _alike(a: str, b: str) -> Column:
+    """Sets of too different sizes are no link, whatever is in them."""
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
 def _heads(members: DataFrame) -> DataFrame:
-    """(band, head, head_comp, n, cross) of the groups with more than FEW_PAIRS pairs across components: a member of the largest component, picked by a hash so that bands with the same members pick different ones. members: band, rep, comp."""
-    by_comp = members.groupBy("band", "comp").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "band")).alias("head"))
+    """(band, head, head_comp, head_size, n, cross) of the groups with more than FEW_PAIRS pairs across components: a member of the largest component, picked by a hash so that bands with the same members pick different ones. members: band, rep, comp, size."""
+    by_comp = members.groupBy("band", "comp").agg(F.count("*").alias("n"), F.min_by(F.struct("rep", "size"), F.xxhash64("rep", "band")).alias("head"))
     groups = by_comp.groupBy("band").agg(F.max(F.struct("n", "comp", "head")).alias("top"), F.sum("n").alias("n"), ((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", F.lit(2)))) / 2).alias("cross"))
-    return groups.where(F.col("cross") > FEW_PAIRS).select("band", F.col("top.head").alias("head"), F.col("top.comp").alias("head_comp"), "n", "cross")
+    return groups.where(F.col("cross") > FEW_PAIRS).select("band", F.col("top.head.rep").alias("head"), F.col("top.comp").alias("head_comp"), F.col("top.head.size").alias("head_size"), "n", "cross")
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -202,13 +207,13 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs across components that share a band but were not compared with each other. members: band, rep, comp."""
+    """Pairs across components that share a band but were not compared with each other. members: band, rep, comp, size."""
     by_comp = members.groupBy("band", "comp").agg(F.count("*").alias("n"))
     groups = by_comp.groupBy("band").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), ((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", F.lit(2)))) / 2).alias("cross")).where("comps > 1")
     left = materialize(join_heavy(members, groups.select("band", "cross", "n"), "band", "n", members.count()), "rest")
     few = left.where(F.col("cross") <= FEW_PAIRS)
-    x, y = (few.select("band", F.col("rep").alias(r), F.col("comp").alias(c)) for r, c in (("a", "ca"), ("b", "cb")))
-    pairs = x.join(y, "band").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    x, y = (few.select("band", F.col("rep").alias(r), F.col("comp").alias(c), F.col("size").alias(n)) for r, c, n in (("a", "ca", "na"), ("b", "cb", "nb")))
+    pairs = x.join(y, "band").where(F.col("ca") < F.col("cb")).where(_alike("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     many = left.where(F.col("cross") > FEW_PAIRS).select("rep", "comp").distinct()
     return pairs.unionByName(_prefix_pairs(many, sets)).distinct()
 
@@ -254,9 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Only rows whose band may have others are shuffled once more.
     shared = may_survive(banded, survivor_bits(groups, "band", SET_BITS), "band", "_hit", SET_BITS).where("_hit").drop("_hit")
     members = materialize(join_heavy(shared, groups, "band", "n", groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "members")
-    # Sets of too different sizes are no link, whatever is in them.
-    alike = 100 * F.least("size", "lead_size") >= PERCENT * F.greatest("size", "lead_size")
-    star = materialize(members.where((F.col("rep") != F.col("lead")) & alike).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "star")
+    star = materialize(members.where((F.col("rep") != F.col("lead")) & _alike("size", "lead_size")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "star")
 
     reps = materialize(members.select("rep").distinct(), "reps")
     bits = survivor_bits(reps, "rep", SET_BITS)
@@ -266,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links, tried = materialize(verify(star, sets), "links"), star
     made, comp = [groups, members, star, reps, sets, links], components(reps, links)
-    others = members.where("rep <> lead").select("band", "rep")  # the lead of a band has been compared with all its members
+    others = members.where("rep <> lead").select("band", "rep", "size")  # the lead of a band has been compared with all its members
     before = float("inf")
     while True:
         pending = materialize(others.join(comp, "rep"), "pending")
@@ -275,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not cross or 4 * cross > 3 * before:
             break
         before = cross
-        asked = join_heavy(pending, heads.drop("cross"), "band", "n", rows).where("comp <> head_comp").select(*_pair("rep", "head")).distinct()
+        asked = join_heavy(pending, heads.drop("cross"), "band", "n", rows).where((F.col("comp") != F.col("head_comp")) & _alike("size", "head_size")).select(*_pair("rep", "head")).distinct()
         asked = materialize(asked.join(tried, ["a", "b"], "left_anti"), "asked")
         more = materialize(verify(asked, sets), "links")
         made += [asked, more]

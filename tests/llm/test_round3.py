@@ -246,3 +246,11 @@ def test_every_pair_within_the_budget_shares_a_group():
         for _ in range(300):
             differ = sum(1 << int(b) for b in r.choice(64, 3, replace=False))
             assert any(m & differ == 0 for m in masks)
+
+
+def test_sets_of_too_different_sizes_are_never_compared(spark):
+    from paperweave.llm import near_dedup
+
+    members = spark.createDataFrame([(1, 1, 1, 100), (1, 2, 2, 70), (1, 3, 3, 80)], "band long, rep long, comp long, size long")
+    sets = spark.createDataFrame([], "rep long, shingles binary")
+    assert {tuple(r) for r in near_dedup._rest(members, sets).select("a", "b").collect()} == {(1, 3), (2, 3)}
