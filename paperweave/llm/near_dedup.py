@@ -49,6 +49,8 @@ FEW_PAIRS = 100
 #: Shingles before a row's own that it carries, so that a pair is made once and not at each common shingle; a pair without one among them is made more than once and then taken as one.
 BEFORE = 64
 SET_BITS = 1 << 24
+#: Words of 64 bits in a sketch of a set: bit h is whether an odd number of its shingles hash to h. Two sketches differ in no more bits than their sets differ in shingles.
+SKETCH = 16
 #: Bytes of texts whose shingles are hashed at once: some 60 bytes of work arrays for each.
 BATCH = 1 << 18
 #: A set that is in very many pairs is copied once for so many of them.
@@ -143,11 +145,11 @@ def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, side: str, other: str, name: str, total: int) -> DataFrame:
-    """pairs with the set of one side. Of ids in very many pairs (at most MOST_HEAVY) the pairs are dealt out by the other side and the set is copied to each part."""
+def _with_set(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, other: str, name: str, total: int) -> DataFrame:
+    """rows, the pairs or what was made of them, with the set of one side. Of ids in very many pairs (at most MOST_HEAVY) the pairs are dealt out by the other side and the set is copied to each part. Which ids these are, and which sets are needed, is read from the written pairs, so that no join is made anew for it."""
     least = max(PAIRS_PER_COPY, -(-total // MOST_HEAVY))
     heavy = F.broadcast(pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_PER_COPY).cast("int").alias("_parts")).where(F.col("_parts") * PAIRS_PER_COPY > least))
-    dealt = pairs.join(heavy, side, "left").withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    dealt = rows.join(heavy, side, "left").withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     # Sets of no pair stay where they are.
     needed = may_survive(sets.select(F.col("rep").alias(side), F.col("shingles").alias(name)), survivor_bits(pairs, side), side, "_hit").where("_hit").drop("_hit")
     copied = needed.join(heavy, side, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
@@ -157,7 +159,7 @@ def _with_set(pairs: DataFrame, sets: DataFrame, side: str, other: str, name: st
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links on their full sets. pairs: a written table."""
     total = pairs.count()
-    wide = _with_set(_with_set(pairs, sets, "a", "b", "x", total), sets, "b", "a", "y", total)
+    wide = _with_set(_with_set(pairs, pairs, sets, "a", "b", "x", total), pairs, sets, "b", "a", "y", total)
     return wide.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
 
 
@@ -220,30 +222,39 @@ def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact: two sets that overlap by PERCENT of their union share one of the first n - ceil(PERCENT% of n) + 1 shingles of each, in any one order of all shingles; here the rarest come first. Their first common shingle also leaves enough shingles after it in both."""
-    each = nodes.join(sets, "rep").mapInArrow(_explode_sets, "rep long, comp long, size int, shingle long")
+    each = nodes.join(sets, "rep").mapInArrow(_explode_sets, "rep long, comp long, size int, shingle long, sketch array<long>")
     counts = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least"))
-    ranked = each.join(counts, "shingle").groupBy("rep", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("lo") < F.col("hi")).alias("mixed"), "least"))).alias("s"))
+    ranked = each.join(counts, "shingle").groupBy("rep", "comp", "size").agg(F.first("sketch", ignorenulls=True).alias("sketch"), F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("lo") < F.col("hi")).alias("mixed"), "least"))).alias("s"))
     # Of the prefix only shingles that other components have as well can meet; each row also carries the first of those before it.
     numbered = F.transform(F.expr(f"slice(s, 1, size - cast(ceil({PERCENT} * size / 100.0) as int) + 1)"), lambda e, i: F.struct(i.alias("at"), e["shingle"].alias("shingle"), e["mixed"].alias("mixed"), e["least"].alias("least")))
-    meeting = ranked.select("rep", "comp", "size", F.filter(numbered, lambda e: e["mixed"]).alias("p"))
-    prefix = meeting.select("rep", "comp", "size", "p", F.posexplode("p").alias("k", "e"))
-    prefix = prefix.select("rep", "comp", "size", (F.col("size") - F.col("e.at")).alias("rest"), "e.shingle", "e.least", F.transform(F.slice("p", F.lit(1), F.least("k", F.lit(BEFORE))), lambda e: e["shingle"]).alias("before"))
+    meeting = ranked.select("rep", "comp", "size", "sketch", F.filter(numbered, lambda e: e["mixed"]).alias("p"))
+    prefix = meeting.select("rep", "comp", "size", "sketch", "p", F.posexplode("p").alias("k", "e"))
+    prefix = prefix.select("rep", "comp", "size", "sketch", (F.col("size") - F.col("e.at")).alias("rest"), "e.shingle", "e.least", F.transform(F.slice("p", F.lit(1), F.least("k", F.lit(BEFORE))), lambda e: e["shingle"]).alias("before"))
     # No partner is smaller than the smallest set with the shingle; what is left of a set has to suffice for one of that size.
     partner = F.greatest("least", F.ceil(PERCENT * F.col("size") / 100))
     prefix = prefix.where((100 + PERCENT) * F.col("rest") >= PERCENT * (F.col("size") + partner))
-    x, y = (prefix.select("shingle", *[F.col(c).alias(c + side) for c in ("rep", "comp", "size", "rest", "before")]) for side in ("_x", "_y"))
+    x, y = (prefix.select("shingle", *[F.col(c).alias(c + side) for c in ("rep", "comp", "size", "rest", "before", "sketch")]) for side in ("_x", "_y"))
     # An overlap of PERCENT of the union is at least PERCENT / (100 + PERCENT) of both sizes together. A pair is made at its first common shingle alone.
     enough = (100 + PERCENT) * F.least("rest_x", "rest_y") >= PERCENT * (F.col("size_x") + F.col("size_y"))
-    close = x.join(y, "shingle").where((F.col("comp_x") < F.col("comp_y")) & enough & ~F.arrays_overlap("before_x", "before_y")).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+    # So the sets of a link differ in at most (100 - PERCENT) / (100 + PERCENT) of both sizes together, and their sketches in no more bits.
+    differ = sum(F.bit_count(F.get("sketch_x", F.lit(i)).bitwiseXOR(F.get("sketch_y", F.lit(i)))) for i in range(SKETCH))
+    alike = (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("size_x") + F.col("size_y"))
+    close = x.join(y, "shingle").where((F.col("comp_x") < F.col("comp_y")) & enough & ~F.arrays_overlap("before_x", "before_y") & alike).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
     return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def sketch(shingles: np.ndarray) -> list[int]:
+    odd = np.bincount((mix(shingles.view(U64) + U64(11)) % U64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _explode_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(it, 100):
         sets = [np.frombuffer(b, np.int64) for b in batch.column(batch.schema.get_field_index("shingles")).to_pylist()]
         n = np.array([len(s) for s in sets], np.int64)
         rep, comp = (np.repeat(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False), n) for c in ("rep", "comp"))
-        yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(comp, pa.int64()), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["rep", "comp", "size", "shingle"])
+        sketches = [x for s in sets for x in (sketch(s), *[None] * (len(s) - 1))]  # with a set's first shingle alone
+        yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(comp, pa.int64()), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)), pa.array(sketches, pa.list_(pa.int64()))], names=["rep", "comp", "size", "shingle", "sketch"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

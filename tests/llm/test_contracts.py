@@ -126,6 +126,31 @@ def test_families_about_the_threshold_lose_no_link_and_are_not_expanded(spark, m
     assert len(asked) >= 3 and sum(asked) < n * (n - 1) / 2 / 4, asked
 
 
+def test_pairs_meet_their_sets_once(spark, tmp_path):
+    """The join of pairs with their first sets is made once, not again for the heavy ids and the needed sets of the second."""
+    spark.createDataFrame([(1, 2), (1, 3)], "a long, b long").write.parquet(str(tmp_path / "pairs"))
+    full = np.arange(40, dtype=np.int64)
+    spark.createDataFrame([(1, bytearray(full.tobytes())), (2, bytearray(full[:36].tobytes())), (3, bytearray(full[:20].tobytes()))], "rep long, shingles binary").write.parquet(str(tmp_path / "sets"))
+    found = near_dedup.verify(spark.read.parquet(str(tmp_path / "pairs")), spark.read.parquet(str(tmp_path / "sets")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [rep#") == 2
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+
+
+def test_sketches_leave_out_pairs_that_are_no_links_and_lose_none(spark):
+    """Sets 1 and 2 share their 70 rarest shingles of 100, which is no link, and never become a pair; 3 and 4 share 95 and do."""
+    rng = np.random.default_rng(5)
+    rare, b, c, most, *own = (rng.integers(-(1 << 62), 1 << 62, n) for n in (70, 30, 30, 95, 5, 5, 300, 300, 300))
+    listed = [(rare, b), (rare, c), (most, own[0]), (most, own[1]), *((b, c, x) for x in own[2:])]  # the last three make b and c frequent
+    sets = {i: np.sort(np.concatenate(s)) for i, s in enumerate(listed, 1)}
+    nodes = spark.createDataFrame([(i, i) for i in sets], "rep long, comp long")
+    pairs = near_dedup._prefix_pairs(nodes, spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "rep long, shingles binary"))
+    assert {tuple(r) for r in pairs.collect()} == {(3, 4)}
+    for x in sets.values():
+        for y in sets.values():
+            differ = sum(((p ^ q) & ((1 << 64) - 1)).bit_count() for p, q in zip(near_dedup.sketch(x), near_dedup.sketch(y), strict=True))
+            assert differ <= len(np.setxor1d(x, y))
+
+
 def test_recall_of_the_bands():
     """Pairs at or just above the threshold share a band; 40 bands of 5 rows miss 2 in 100,000."""
     r = np.random.default_rng(3)
