@@ -193,3 +193,20 @@ def test_terms_beyond_the_basic_plane_are_found(spark, tmp_path):
     """A letter of two code units is one of a trigram's three."""
     kept = index.update(spark, str(tmp_path / "a"), spark.createDataFrame([("a", 1, "x \U0001f600AB y"), ("b", 1, "ab")], SCHEMA), buckets=1)
     assert rows(index.term_hits(kept, [("t", "\U0001f600ab")]).drop("text")) == [("t", "a", 1)]
+
+
+def test_trigrams_are_made_before_the_first_substring_search(spark, tmp_path):
+    """An index made for words alone has none, and later gives what one with trigrams gives, also after an update; a second search makes nothing."""
+    first, changed = some_pages(5, docs=6), some_pages(6, docs=2)
+    shape = {"buckets": 2, "blocks": 2, "files": 1}
+    late, full = (index.update(spark, str(tmp_path / n), spark.createDataFrame(first, SCHEMA), trigrams=t, **shape) for n, t in (("late", False), ("full", True)))
+    assert not manifests.children(spark, f"{late.path}/grams") and manifests.children(spark, f"{full.path}/grams")
+    term = first[0][2][:5]
+    assert rows(index.term_hits(late, [("t", term)])) == rows(index.term_hits(full, [("t", term)]))
+    again = index.open_index(spark, late.path)
+    same(again, full)
+    assert index.with_trigrams(late).number == again.number
+    late, full = (index.update(spark, x.path, spark.createDataFrame(changed, SCHEMA), trigrams=t) for x, t in ((late, False), (full, True)))
+    same(index.with_trigrams(late), full)
+    index.vacuum(index.open_index(spark, late.path))
+    same(index.open_index(spark, late.path), full)
