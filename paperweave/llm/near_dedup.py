@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MOST_HEAVY, discard, join_heavy, materialize, may_survive, survivor_bits
-from .wordhash import SPACE, U64, Texts, batches, hashes, mix, windows
+from .wordhash import SPACE, U64, Texts, batches, give_back, hashes, mix, windows
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -143,6 +143,7 @@ def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common = int((both[1:] == both[:-1]).sum())
             keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    give_back()
 
 
 def _with_set(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, other: str, name: str, total: int) -> DataFrame:

@@ -41,6 +41,8 @@ REFERENCE_WORDS, MOST_COMPARED, MOST_REFERENCES = 2000, 50, 10_000
 COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
 #: Distinct words that a task adds up before it sends them; what it sorts at once stays small, as a Python worker keeps its memory through later stages.
 HELD = 400_000
+#: Bytes of texts that are worked on at once: some 60 bytes of work arrays for each.
+BATCH = 1 << 18
 
 LINE = np.zeros(256, bool)
 LINE[10] = True
@@ -80,7 +82,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts: kind 0 for character classes, 1 for word hashes. A task adds up its batches before it sends them."""
     held: dict[str | None, list] = {}
-    size = 0
+    size = 0  # of what is held
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, (chars, keys, counts) in held.items():
@@ -95,7 +97,7 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, back = np.unique(np.concatenate(keys), return_inverse=True)
         return k, np.bincount(back, np.concatenate(counts), len(k)).astype(np.int64)
 
-    for batch in batches(it):
+    for batch in batches(it, size=BATCH):
         texts = Texts(batch.column(0))
         langs = batch.column(1).to_pylist()
         start, end, doc = texts.spans(SPACE)
@@ -109,9 +111,11 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ks.append(k)
             ns.append(n)
             size += len(k)
-            if len(ks) > 8:
+            if len(ks) > 8 and sum(map(len, ks)) > 2 * len(ks[0]):  # in proportion to what was merged before
+                size -= sum(map(len, ks))
                 k, n = merged(ks, ns)
                 held[lang][1:] = [k], [n]
+                size += len(k)
         if size > HELD:
             yield from flush()
             size = 0
@@ -128,7 +132,8 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     totals = counts.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), "n")
     totals = materialize(totals, "languages")
     large = [r["lang"] for r in totals.where(F.col("n") >= REFERENCE_WORDS).orderBy(F.desc("n"), F.asc_nulls_first("lang")).limit(MOST_REFERENCES).select("lang").collect()]
-    wanted = docs.sparkSession.createDataFrame([(x,) for x in large], "of string")  # MOST_REFERENCES rows at most
+    # MOST_REFERENCES rows at most, as an Arrow table: rows of Python objects would start further Python workers on the executors, which stay.
+    wanted = docs.sparkSession.createDataFrame(pa.table({"of": pa.array(large, pa.string())}))
     of_large = F.col("lang").eqNullSafe(F.col("of"))
     rows = words.select("lang", "kind", "key", "n").unionByName(counts.where("kind = 0")).unionByName(totals).join(F.broadcast(wanted), of_large, "left_semi").collect()
     if rows:  # an empty result can come before all of its stages have ended
@@ -214,7 +219,7 @@ def _verdicts(column: pa.Array, langs: pa.Array, ref: References) -> dict[str, n
 
 def _judge(ref: References):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it):
+        for batch in batches(it, size=BATCH):
             found = _verdicts(batch.column(1), batch.column(2), ref)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64() if x.dtype.kind in "iu" else None) for x in found.values()]], names=["doc_id", *found])
 
@@ -234,7 +239,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", r
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (pa.RecordBatch.from_arrays([b.column(0).field(text), b.column(0).field(lang).cast(pa.string()), b.column(0)], names=["text", "lang", "row"]) for b in it)
-        for batch in batches(parts):
+        for batch in batches(parts, size=BATCH):
             kept = _verdicts(batch.column(0), batch.column(1), ref)["kept"]
             yield pa.RecordBatch.from_arrays([batch.column(2)], names=["row"]).filter(pa.array(kept))
 
