@@ -1,11 +1,14 @@
 """The kept index: same results as a scan, updates, phrases, bounds, and its stated cases."""
 
+import gc
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from paperweave.operators import index, search
+from paperweave.session import settings
 from paperweave.sources import manifests
 
 
@@ -210,3 +213,73 @@ def test_trigrams_are_made_before_the_first_substring_search(spark, tmp_path):
     same(index.with_trigrams(late), full)
     index.vacuum(index.open_index(spark, late.path))
     same(index.open_index(spark, late.path), full)
+
+
+def shuffled(spark):
+    """MB that all tasks so far have shuffled, and those whose shuffle files are still there."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    there = sum(f.stat().st_size for d in sc.env().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data"))
+    return sc.statusStore().executorList(True).head().totalShuffleWrite() / 1e6, there / 1e6
+
+
+def test_texts_are_shuffled_once_and_shuffles_end_with_their_write(spark, tmp_path):
+    """A new index shuffles its texts once and no postings; an update shuffles the given pages twice and the stored ones once. What is shuffled does not wait for garbage to be collected."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(20_000)]
+    pages = spark.createDataFrame([(f"d{d}", 1, " ".join(r.choices(words, k=100))) for d in range(4000)], SCHEMA)
+    changed = pages.where("cast(substring(document_id, 2) as int) % 4 = 0").withColumn("text", F.concat("text", F.lit(" more")))
+    began, _ = shuffled(spark)
+    pages.repartition(4, "document_id").write.format("noop").mode("overwrite").save()
+    once = shuffled(spark)[0] - began
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    began, left = shuffled(spark)
+    old = index.update(spark, str(tmp_path / "a"), pages, buckets=2, blocks=16, files=2, trigrams=False)
+    built, after = shuffled(spark)
+    assert built - began < 1.3 * once
+    now = index.update(spark, old.path, changed, trigrams=False)
+    updated, after = shuffled(spark)
+    assert updated - built < 1.9 * once
+    assert after - left < 0.2 * once
+    assert now.table("blocks").where("token = 'more'").agg(F.sum("df")).first()[0] == 1000
+
+
+def test_small_batches_make_the_same_index(spark, tmp_path):
+    """A block's rows of one token, and a block's trigrams, lie in many batches: each comes once."""
+    pages = spark.createDataFrame(some_pages(11, docs=12), SCHEMA)
+    shape = {"buckets": 2, "blocks": 2, "files": 2}
+    want = index.update(spark, str(tmp_path / "a"), pages, **shape)
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "3"}):
+        made = index.update(spark, str(tmp_path / "b"), pages, **shape)
+    same(made, want)
+    for name, key in (("blocks", ["token", "block"]), ("grams", ["gram", "block"])):
+        assert made.table(name).groupBy(key).count().where("count > 1").isEmpty()
+    p = made.table("postings").select("token", "block", "n", F.size(F.filter("positions", lambda x: x >= 0)).alias("tf"))
+    counted = p.groupBy("token", "block").agg(F.count("*"), F.count_if(F.col("tf") > 0), F.max("tf"), F.min("n"))
+    assert rows(made.table("blocks").drop("bucket", "version")) == rows(counted)
+
+
+def test_an_update_of_repeated_missing_and_empty_pages(spark, tmp_path):
+    """Pages that a changed document lost go, with texts that are null or repeated; a document among the given that is as before stays; one both given and gone stays."""
+    shape = {"buckets": 2, "blocks": 4, "files": 2}
+    first = [("a", 1, "one"), ("a", 2, "two"), ("a", None, "of no page"), ("b", 1, None), ("c", 1, "same"), ("c", 1, "Same"), ("d", 1, "stays"), ("e", 1, "text"), ("f", 1, "not given")]
+    given = [("a", 2, "x"), ("a", 2, "y"), ("a", 2, None), ("b", 1, ""), ("b", 1, None), ("c", 1, "same"), ("d", 1, "stays"), ("e", 1, None)]
+    old = index.update(spark, str(tmp_path / "a"), spark.createDataFrame(first, SCHEMA), **shape)
+    now = index.update(spark, old.path, spark.createDataFrame(given, SCHEMA), spark.createDataFrame([("d",), ("f",)], "document_id string"))
+    after = [("a", 2, "y"), ("b", 1, ""), ("c", 1, "same"), ("d", 1, "stays"), ("e", 1, None)]
+    same(now, index.update(spark, str(tmp_path / "b"), spark.createDataFrame(after, SCHEMA), **shape))
+    assert rows(now.table("pages").select("document_id", "page_no", "text")) == after
+
+
+def test_the_updated_index_alone_stays(spark, tmp_path, monkeypatch):
+    from paperweave.plans import queries_packets
+
+    spark.createDataFrame([(i, f"text of {i}") for i in range(40)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, int(i % 7 == 0)) for i in range(40)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(queries_packets, "shared_dir", lambda _: str(tmp_path / "shared"))
+    found = dict(rows(queries_packets.page_index_update(spark, str(tmp_path))))
+    assert (found["text"], found["reviewed"], found.get("7")) == (34, 17, None)
+    for name in index.TABLES:
+        versions = [f.relative_to(tmp_path / "shared").parts[2:] for f in (tmp_path / "shared").glob(f"page-index-*/{name}/bucket=*/version=*")]
+        assert any(v.startswith("version=v2") for _, v in versions) and len({b for b, _ in versions}) == len(versions), name
